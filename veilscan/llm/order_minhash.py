@@ -8,10 +8,12 @@ by banded alignment: as labelled k-mers are unique, the best alignment is a long
 positions, and matches off the diagonal by more than the band that the threshold allows cannot be part of one
 that passes.  The similarity is aligned / (n_a + n_b - aligned) k-mers, 0.8 or more making a link.
 
-Equal word sequences form one class first (aggregates only), so thousands of copies cost as much as one.  In a
-bucket no task ever holds all pairs: members are compared with the bucket's centre, with the centre and the next
-neighbours of their part of it (parts have a bounded number of rows), and after components are known, members
-that are still apart from others of their bucket are compared with those, unless the pair was compared before.
+Equal word sequences form one class first (aggregates only), so thousands of copies cost as much as one.  A bucket
+of a few members has all its pairs compared.  In a larger one members are compared with a few hubs: the members
+that meet most others over all tables, which are those closest to what a family of copies comes from.  Once
+components are known, every member outside its bucket's largest component is held against all members of other
+components, block by block, so that no task holds more than two blocks: a bound from hashed k-mer counts (two texts
+differ in at least as many k-mers as their counts do) leaves those few that can pass, and these are aligned too.
 
 Defined results: a null text is alone in its class; texts without a word are copies of each other; texts of
 fewer than five words have one k-mer, the whole text; repeated rows are copies; an empty table gives an empty
@@ -24,21 +26,24 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import WORDS, components, map_batches, written
+from veilscan.llm.common import WORDS, components, written
 
 K = 5
 ELL = 3
 TABLES = 16
 SIMILARITY = 0.8
-#: A bucket of up to SMALL members has all its pairs compared; larger ones are split into parts of about PART.
-SMALL = 6
-PART = 128
-NEIGHBOURS = 2
+#: A bucket of up to SMALL members has all its pairs compared, a larger one's members meet HUBS members first.
+SMALL = 8
+HUBS = 4
+#: K-mers are counted in so many cells for the bound; blocks of members outside and of all members that meet at once.
+CELLS = 256
+OUTSIDE_BLOCK, MEMBER_BLOCK = 256, 1024
 
 _MIX1, _MIX2, _MIX3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S1, _S2 = np.uint64(30), np.uint64(27)
@@ -110,21 +115,32 @@ def sketch(labelled: np.ndarray, ell: int = ELL) -> np.ndarray:
     return keys
 
 
+def cells(labelled: np.ndarray) -> bytes:
+    """Counts of k-mers by hash.  Their absolute differences, summed, are at most the number of k-mers not in common."""
+    return np.minimum(np.bincount((labelled % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the word sequence (of its own for each null text), keys: a bucket key for each table (none without words)."""
+    """doc_id, digest of the word sequence (of its own for each null text), keys: a bucket key for each table (none
+    without words), n: the number of k-mers, cells: their counts by hash, each up to 255."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            digests: list[bytes] = []
-            keys: list[np.ndarray] = []
+            rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = WORDS.findall(text) if text is not None else []
-                digests.append(f"null {doc}".encode() if text is None else xxhash.xxh3_128_digest("\n".join(words).encode("utf-8", "surrogatepass")))
-                keys.append(sketch(kmers(hasher.words(words))).view(np.int64) if words else np.empty(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
+                digest = f"null {doc}".encode() if text is None else xxhash.xxh3_128_digest("\n".join(words).encode("utf-8", "surrogatepass"))
+                if words:
+                    found = kmers(hasher.words(words))
+                    rows.append((digest, sketch(found).view(np.int64), len(found), cells(found)))
+                else:
+                    rows.append((digest, np.empty(0, dtype=np.int64), 0, b""))
+            if rows:
+                kinds = (pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "digest", "keys", "n", "cells"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, keys array<long>, n long, cells binary")
 
 
 def labelled_kmers(text: str, k: int = K) -> list[tuple]:
@@ -183,45 +199,86 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def may_pass(n_a, n_b):
+    """Whether the numbers of k-mers allow the threshold."""
+    return F.least(n_a, n_b) >= SIMILARITY * F.greatest(n_a, n_b)
+
+
+def ordered_pairs(x: str, y: str) -> list[F.Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def first_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs to compare first, a few for each member of each bucket (key, id, size, centre, part)."""
-    part = Window.partitionBy("key", "part").orderBy(F.xxhash64("key", "id"), "id")
-    ahead = [F.lead("id", k).over(part) for k in range(1, SMALL)]
-    # a small bucket's members are compared with all that follow, others with the next few and with two centres
-    partners = F.when(F.col("size") <= SMALL, F.array(*ahead)).otherwise(F.array("centre", "own", *ahead[:NEIGHBOURS]))
-    placed = buckets.withColumn("own", F.first("id").over(part)).withColumn("partners", partners)
-    pairs = placed.select("id", F.explode(F.array_distinct("partners")).alias("other")).where("other is not null and other <> id")
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    """Pairs to compare first, a few for each member of each bucket (key, id, n, size, hubs)."""
+    few = buckets.where(F.col("size") <= SMALL)
+    by_id = Window.partitionBy("key").orderBy("id")
+    ahead = F.array(*(F.lead(F.struct("id", "n"), k).over(by_id) for k in range(1, SMALL)))
+    meets = few.select("id", "n", ahead.alias("others")).unionAll(buckets.where(F.col("size") > SMALL).select("id", "n", F.col("hubs").alias("others")))
+    pairs = meets.select("id", "n", F.explode("others").alias("o")).where(F.col("o").isNotNull() & (F.col("o.id") != F.col("id")) & may_pass(F.col("n"), F.col("o.n")))
+    return pairs.select(*ordered_pairs("id", "o.id")).distinct()
+
+
+def hubs_of(held: DataFrame) -> DataFrame:
+    """key and hubs: of each hash class of a bucket's members (key, id, n, met) the one that meets most others."""
+    rank = F.struct("met", (-F.col("id")).alias("minus_id"), "n")
+    best = [F.max(F.when(F.pmod(F.xxhash64(F.lit("hub"), "id"), F.lit(HUBS)) == i, rank)) for i in range(HUBS)]
+    found = held.groupBy("key").agg(F.array_compact(F.array(*best)).alias("best"))
+    return found.select("key", F.transform("best", lambda b: F.struct((-b["minus_id"]).alias("id"), b["n"].alias("n"))).alias("hubs"))
+
+
+def outside_pairs(apart: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs over components that the counts' bound leaves, from buckets (key, id, root, main, outside, members).
+
+    A bucket's members outside its main component meet all its members in blocks; each task holds two.
+    """
+    rows = written(apart.join(facts.select("id", "n", "cells"), "id"), "outside")
+    n_out, n_all = F.ceil(F.col("outside") / OUTSIDE_BLOCK).cast("int"), F.ceil(F.col("members") / MEMBER_BLOCK).cast("int")
+    own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["key", "id", "root", "main", "n", "cells"]
+    left = rows.where("root <> main").select(*columns, own("out", n_out).alias("o"), every(n_all).alias("m"))
+    right = rows.select(*columns, own("all", n_all).alias("m"), every(n_out).alias("o"))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        y.columns = [c.removesuffix("_") for c in y.columns]
+        if len(x) and len(y):
+            ids, roots, n = (y[c].to_numpy() for c in ("id", "root", "n"))
+            counts = np.frombuffer(b"".join(y["cells"]), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16)
+            in_main = roots == y["main"].to_numpy()
+            for i, root, m, c in zip(x["id"], x["root"], x["n"], x["cells"], strict=True):
+                near = np.flatnonzero((roots != root) & (in_main | (ids > i)) & (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)))
+                apart_by = np.abs(counts[near] - np.frombuffer(c, dtype=np.uint8).astype(np.int16)).sum(axis=1, dtype=np.int64)
+                found += ((min(i, j), max(i, j)) for j in ids[near[apart_by <= (1 - SIMILARITY) / (1 + SIMILARITY) * (n[near] + m) + 1e-9]].tolist())
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    keys = ["key", "o", "m"]
+    right = right.select(*(F.col(c).alias(f"{c}_") for c in right.columns))
+    return left.groupBy(*keys).cogroup(right.groupBy(*(f"{c}_" for c in keys))).applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Classes (doc_id, class_id, the least doc_id of the class) and the links found between different texts."""
     texts = (docs if texts is None else texts).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = written(sketches(docs), "sketches")
-    named = base.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    distinct = written(named, "distinct")
+    facts = base.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("keys", "n", "cells")))
+    distinct = written(facts, "distinct")
 
-    entries = distinct.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
-    rank = F.struct(F.xxhash64("key", "id"), "id")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(rank)["id"].alias("centre")).where("size > 1")
-    sizes = written(sizes, "sizes")
+    entries = distinct.where(F.size("keys") > 0).select("id", "n", F.explode("keys").alias("key"))
+    sizes = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     held = written(entries.join(sizes, "key"), "buckets")
-    parts = held.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.ceil(F.col("size") / PART)))
-    tested = written(verified(first_pairs(parts), texts), "tested")
+    met = written(held.groupBy("id").agg(F.sum("size").alias("met")), "met")
+    hubs = written(hubs_of(held.where(F.col("size") > SMALL).join(met, "id")), "hubs")
+    tested = written(verified(first_pairs(held.join(hubs, "key", "left")), texts), "tested")
     links = tested.where(F.col("similarity") >= SIMILARITY)
     roots = written(components(links), "components")
 
-    # members still apart from others of their bucket
-    grouped = held.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    grouped = written(grouped, "grouped")
-    groups = grouped.groupBy("key", "root").agg(F.count("*").alias("n"))
-    widest = groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    widest = written(widest.select("key", F.col("top.root").alias("main")), "widest")
-    apart = written(grouped.join(widest, "key"), "apart")
-    minor = apart.where("root <> main").select("key", F.col("id").alias("x"), F.col("root").alias("root_x"))
-    other = apart.select("key", F.col("id").alias("y"), F.col("root").alias("root_y"), "main")
-    crossing = minor.join(other, "key").where("root_x <> root_y and (root_y = main or x < y)")
-    later = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    large = held.where(F.col("size") > SMALL).join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    large = written(large, "large")
+    groups = large.groupBy("key", "root").agg(F.count("*").alias("k"))
+    open_ = groups.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("groups"), F.sum("k").alias("members")).where("groups > 1")
+    open_ = written(open_.select("key", F.col("top.root").alias("main"), (F.col("members") - F.col("top.k")).alias("outside"), "members"), "open")
+    later = outside_pairs(large.join(open_, "key"), distinct).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = written(verified(later, texts), "tested").where(F.col("similarity") >= SIMILARITY)
     links = links.unionAll(more)
     if not more.isEmpty():
