@@ -16,12 +16,14 @@ table gives an empty result; a piece may be as short as one token; columns other
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.scripts import LETTERS, NUMBERS, SPACE, is_plain
+from veilscan.llm.scripts import LETTERS, NUMBERS, SPACE, byte_letters, is_plain
 
 END_ID = 1
 #: The window of waiting examples; it bounds a task's memory.
@@ -45,32 +47,103 @@ class Limits:
     loss_tokens: int = 2048
 
 
+class _Merger:
+    """Ids of single words for a vocabulary whose words end in a marked letter.
+
+    Merging by the rank of what is merged gives the library's ids if every token of the vocabulary is what its own
+    letters merge to: a span that the merges leave whole is then merged as it is alone, which only one pair ends.
+    That is tested when a vocabulary is loaded; where it fails, the library's model is asked for each word.
+    """
+
+    END = b"\xff"  # a byte that UTF-8 never has stands for the mark
+
+    def __init__(self, tokenizer, path: str) -> None:
+        import tiktoken
+        from tokenizers import models
+
+        self.model = tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        letters = byte_letters()
+        self.to_letters = {b: c for c, b in letters.items()}
+        mark = spec["end_of_word_suffix"] or ""
+
+        def raw(token: str) -> bytes:
+            ended = bool(mark) and token.endswith(mark)
+            return bytes(letters[c] for c in (token.removesuffix(mark) if ended else token)) + (self.END if ended else b"")
+
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["merges"]]
+        made = {a + b: raw(a + b) for a, b in merges}
+        inner = models.BPE(vocab=spec["vocab"], merges=[tuple(m) for m in merges])  # without the mark
+
+        def whole(token: str) -> bool:
+            pieces = self.model.tokenize(token.removesuffix(mark)) if token.endswith(mark) else inner.tokenize(token)
+            return len(pieces) == 1 and pieces[0].value == token
+
+        self.exact = bool(mark) and all(map(whole, made))
+        order = [bytes([b]) for b in range(256)] + [bytes([b]) + self.END for b in range(255)]
+        first = set(order)
+        order += [r for r in dict.fromkeys(made.values()) if r not in first]
+        by_raw = {raw(t): i for t, i in spec["vocab"].items() if all(c in letters for c in t.removesuffix(mark))}
+        self.core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks={r: k for k, r in enumerate(order)}, special_tokens={})._core_bpe
+        self.packed = [struct.pack("<I", by_raw.get(r, 0)) for r in order]
+
+    def ids(self, word: str) -> bytes:
+        data = word.encode("utf-8", "surrogatepass")
+        if self.exact:
+            return b"".join([self.packed[i] for i in self.core.encode_single_piece(data + self.END)])
+        pieces = self.model.tokenize(data.decode("latin-1").translate(self.to_letters))
+        return struct.pack(f"<{len(pieces)}I", *(p.id for p in pieces))
+
+
+class _Known(dict):
+    """Ids, as little-endian bytes, of what stands between white space; found when first asked for."""
+
+    def __init__(self, merger: _Merger) -> None:
+        super().__init__()
+        self.merge = merger.ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            ids = self.merge(chunk)
+        else:
+            ids = b"".join([self.merge(w) for w in _PIECES.findall(chunk)])
+        self[chunk] = ids
+        return ids
+
+
 class WordIds:
-    """Ids of texts by the ``tokenizers`` library, asked once for each word of plain texts and for the rest as a whole."""
+    """Ids of texts as the ``tokenizers`` library gives them.
 
-    MAX_WORDS = 250_000
+    Plain texts are normalised and cut at white space here, as the vocabulary file states, and each such part is
+    merged once while it is remembered; any other text goes through the library as a whole.
+    """
+
+    MAX_WORDS = 400_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.ints = list(range(self.tokenizer.get_vocab_size() + 1))
+        self.known = _Known(_Merger(self.tokenizer, path))
+        # separators that are white space to Python only, and special strings
+        self.other = [*"\x1c\x1d\x1e\x1f", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return np.empty(0, dtype=np.uint32)
-        if not is_plain(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        words = _PIECES.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
-        known = self.known
-        if len(known) > self.MAX_WORDS:
-            known.clear()
-        if new := list(set(words).difference(known)):
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = tuple(self.ints[i] for i in e.ids)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.uint32)
+            return np.empty(0, dtype="<u4")
+        if not is_plain(text) or any(s in text for s in self.other):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        chunks = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
+        if len(self.known) > self.MAX_WORDS:
+            self.known.clear()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), dtype="<u4")
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker: tasks that follow in it find the words of those before."""
+    return WordIds(path)
 
 
 @dataclass
@@ -81,10 +154,19 @@ class Example:
     start: int
     ids: np.ndarray
     total: int
-    loss: np.ndarray  # loss[i]: loss-bearing tokens among the first i ids left
+    loss: np.ndarray | None = None  # loss[i]: loss-bearing tokens among the first i ids left; None: all are
+
+    def loss_of(self, n: int) -> int:
+        return n if self.loss is None else int(self.loss[n])
+
+    def longest(self, tokens: int, loss: int) -> int:
+        """The most of its first ids that keep to both bounds."""
+        n = min(tokens, len(self.ids))
+        return min(n, loss) if self.loss is None else min(n, int(np.searchsorted(self.loss, loss, side="right")) - 1)
 
     def split(self, n: int) -> tuple[Example, Example]:
-        return Example(self.doc, self.start, self.ids[:n], self.total, self.loss[: n + 1]), Example(self.doc, self.start + n, self.ids[n:], self.total, self.loss[n:] - self.loss[n])
+        head, tail = (None, None) if self.loss is None else (self.loss[: n + 1], self.loss[n:] - self.loss[n])
+        return Example(self.doc, self.start, self.ids[:n], self.total, head), Example(self.doc, self.start + n, self.ids[n:], self.total, tail)
 
 
 class Packer:
@@ -99,7 +181,7 @@ class Packer:
     def add(self, example: Example) -> None:
         if len(self.waiting) == self.sizes.shape[1]:
             self.sizes = np.hstack([self.sizes, np.zeros_like(self.sizes)])
-        self.sizes[:, len(self.waiting)] = len(example.ids), example.loss[-1]
+        self.sizes[:, len(self.waiting)] = len(example.ids), example.loss_of(len(example.ids))
         self.waiting.append(example)
         self.tokens += len(example.ids)
 
@@ -115,7 +197,7 @@ class Packer:
     def put(self, example: Example) -> Iterator[list[Example]]:
         """Add a document; hand out the sequences that can be closed."""
         limit = self.limits.tokens
-        while len(example.ids) >= limit and example.loss[limit] <= self.limits.loss_tokens:
+        while len(example.ids) >= limit and example.loss_of(limit) <= self.limits.loss_tokens:
             whole, example = example.split(limit)
             yield [whole]
         if len(example.ids):
@@ -140,7 +222,7 @@ class Packer:
                 piece = self._take(int(np.argmax(np.where(fits, value, -1.0))))
             else:
                 k = int(np.argmax(tokens))
-                n = int(min(left, np.searchsorted(self.waiting[k].loss, loss, side="right") - 1))
+                n = self.waiting[k].longest(left, loss)
                 if n < 1:
                     break
                 example = self._take(k)
@@ -148,7 +230,7 @@ class Packer:
                 if len(rest.ids):
                     self.add(rest)
             out.append(piece)
-            left, segments, loss = left - len(piece.ids), segments - 1, loss - int(piece.loss[-1])
+            left, segments, loss = left - len(piece.ids), segments - 1, loss - piece.loss_of(len(piece.ids))
         used = capacity - left
         spare = used - (1 << (used.bit_length() - 1)) if used < limits.tokens else 0
         while spare:  # back to a power of two; what is cut off waits for another sequence
@@ -166,13 +248,13 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = EN
     """Pieces of all documents of ``docs`` and where they lie; see ``SCHEMA``.
 
     ``path`` is the vocabulary file, read on the executors.  ``loss_from`` names an integer column: the document's
-    tokens from that number on bear loss (an instruction's answer); without it all do.
+    tokens from that number on bear loss (an instruction's answer); without it, or where it is null, all do.
     """
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordIds(path), Packer(limits)
-        task = TaskContext.get()
+        words, packer = word_ids(path), Packer(limits)
+        task, end = TaskContext.get(), np.array([end_id], dtype="<u4")
         number = (task.partitionId() if task else 0) << 40
 
         def rows(sequences: Iterator[list[Example]]) -> Iterator[tuple]:
@@ -180,7 +262,7 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = EN
             for pieces in sequences:
                 at = 0
                 for p in pieces:
-                    yield p.doc, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.total, number, at, int(p.loss[-1])
+                    yield p.doc, p.start, len(p.ids), zlib.crc32(p.ids), p.total, number, at, p.loss_of(len(p.ids))
                     at += len(p.ids)
                 number += 1
 
@@ -188,11 +270,11 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = EN
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
         for batch in batches:
-            firsts = batch.column(2).to_pylist() if loss_from else [0] * batch.num_rows
+            firsts = batch.column(2).to_pylist() if loss_from else [None] * batch.num_rows
             out: list[tuple] = []
             for doc, text, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), firsts, strict=True):
-                ids = np.append(words.encode(text), np.uint32(end_id))
-                loss = np.maximum(np.arange(len(ids) + 1) - (first or 0), 0)
+                ids = np.append(words.encode(text), end)
+                loss = None if first is None else np.maximum(np.arange(len(ids) + 1) - first, 0)
                 out += rows(packer.put(Example(doc, 0, ids, len(ids), loss)))
             if out:
                 yield table(out)
