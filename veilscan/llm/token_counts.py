@@ -17,8 +17,10 @@ table gives an empty result; columns other than ``doc_id`` and ``text`` are igno
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.scripts import LETTERS, NUMBERS, SPACE, is_plain
+from veilscan.llm.scripts import LETTERS, NUMBERS, SPACE, byte_letters, is_plain
 
 LIMIT = 1024
 #: Fixed: how the byte-level vocabularies cut text before merging, for any text and for plain characters.
@@ -34,17 +36,10 @@ _ANY = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 _PLAIN = re.compile(rf"""'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+""")
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Exact token counts of texts and of their prefixes for one vocabulary file."""
 
-    MAX_WORDS = 300_000
+    MAX_WORDS = 400_000
     MAX_PAIRS = 1_000_000
 
     def __init__(self, path: str) -> None:
@@ -57,12 +52,14 @@ class PrefixCounter:
 
         special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.mark = os.path.commonprefix(special)
         self.vocab = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.ranks = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.vocab))
+        self.tokens = {i: t for t, i in self.vocab.items()}
         self.known: dict[str, int] = {}
-        self.beside: dict[tuple[bytes, bytes], bool] = {}
+        self.beside: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges replayed over a few bytes."""
@@ -74,39 +71,76 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _can_meet(self, a: bytes, b: bytes) -> bool:
-        known = self.beside.get((a, b))
+    def _can_meet(self, a: int, b: int) -> bool:
+        """Whether the merges leave token ``b`` beside token ``a``."""
+        pair = a << 20 | b
+        known = self.beside.get(pair)
         if known is None:
             if len(self.beside) > self.MAX_PAIRS:
                 self.beside.clear()
-            known = self.beside[a, b] = self.merged(a + b) == [a, b]
+            left, right = self.tokens[a], self.tokens[b]
+            known = self.beside[pair] = self.merged(left + right) == [left, right]
         return known
 
+    def _extend(self, data: bytes, counts: list[int], last: list[int]) -> None:
+        """Carry the tables of a prefix of ``data`` on to all of it: the dynamic programme's step for each longer prefix."""
+        vocab, beside, longest = self.vocab, self.beside, self.longest
+        for end in range(len(counts), len(data) + 1):
+            for start in range(max(0, end - longest), end):
+                token = vocab.get(data[start:end])
+                if token is not None and (not start or ((ok := beside.get(last[start] << 20 | token)) or ok is None and self._can_meet(last[start], token))):
+                    counts.append(counts[start] + 1)
+                    last.append(token)
+                    break
+
     def word_table(self, data: bytes) -> list[int]:
         """Token counts of all prefixes of one word's bytes, from the empty one on."""
-        counts, last = [0] * (len(data) + 1), [b""] * (len(data) + 1)
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = data[start:end]
-                if token in self.vocab and (not start or self._can_meet(last[start], token)):
-                    counts[end], last[end] = counts[start] + 1, token
-                    break
+        counts, last = [0], [-1]
+        self._extend(data, counts, last)
         return counts
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Remember the counts of words; in sorted order each goes on from the prefix it shares with the one before."""
+        before, counts, last = b"", [0], [-1]
+        for data, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+            same = 0
+            for x, y in zip(before, data, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del counts[same + 1 :], last[same + 1 :]
+            self._extend(data, counts, last)
+            self.known[word] = counts[len(data)]
+            before = data
+
     def split(self, text: str) -> list[str]:
         return _PLAIN.findall(text) if is_plain(text) else _ANY.findall(text)
 
     def word_counts(self, words: list[str]) -> list[int]:
-        known = self.known
-        if len(known) > self.MAX_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.word_table(w.encode("utf-8", "surrogatepass"))[-1]
-        return list(map(known.__getitem__, words))
+        if len(self.known) > self.MAX_WORDS:
+            self.known.clear()
+        self.learn(set(words).difference(self.known))
+        return list(map(self.known.__getitem__, words))
+
+    def count_all(self, texts: list[str | None], characters: int = 4_000_000) -> list[int]:
+        """Tokens of each whole text; words of several texts, up to about so many characters, are learned at once."""
+        out: list[int] = []
+        while len(out) < len(texts):
+            held, size = [], 0
+            while len(out) + len(held) < len(texts) and (not held or size < characters):
+                text = texts[len(out) + len(held)] or ""
+                size += len(text)
+                pieces = [(part, special) for part, special in self._stretches(text)]
+                held.append((sum(special for _, special in pieces), [self.split(part) for part, special in pieces if not special]))
+            if len(self.known) > self.MAX_WORDS:
+                self.known.clear()
+            self.learn(set().union(*(words for _, parts in held for words in parts)).difference(self.known))
+            out += (n + sum(sum(map(self.known.__getitem__, words)) for words in parts) for n, parts in held)
+        return out
 
     def _stretches(self, text: str) -> Iterator[tuple[str, bool]]:
         at = 0
-        for m in self.special.finditer(text) if self.special else ():
+        for m in self.special.finditer(text) if self.special and self.mark in text else ():
             if m.start() > at:
                 yield text[at : m.start()], False
             yield m.group(), True
@@ -116,11 +150,7 @@ class PrefixCounter:
 
     def count(self, text: str | None) -> int:
         """Tokens of the whole text."""
-        if not text:
-            return 0
-        if self.special is None or "<" not in text:
-            return sum(self.word_counts(self.split(text)))
-        return sum(1 if special else sum(self.word_counts(self.split(part))) for part, special in self._stretches(text))
+        return sum(1 if special else sum(self.word_counts(self.split(part))) for part, special in self._stretches(text or ""))
 
     def prefix_counts(self, text: str | None) -> list[int]:
         """The exact count of text[:i], for each i from 0 to len(text).
@@ -188,14 +218,20 @@ class PrefixCounter:
         return len(text)
 
 
+@lru_cache(maxsize=1)
+def prefix_counter(path: str) -> PrefixCounter:
+    """One for each worker: tasks that follow in it find the words of those before."""
+    return PrefixCounter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row's whole text.  ``path`` is read on the executors."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = prefix_counter(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            counts = [counter.count(t) for t in texts]
+            counts = counter.count_all(texts)
             sizes = [0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
@@ -206,7 +242,7 @@ def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and counts, the exact token count at every code-point prefix of its text (counts[i] for text[:i])."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = prefix_counter(path)
         for batch in batches:
             tables = [counter.prefix_counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tables, pa.list_(pa.int32()))], names=["doc_id", "counts"])
