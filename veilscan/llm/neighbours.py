@@ -153,8 +153,8 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = NEAREST, id_column:
     n_blocks, n_query_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     rows = rows.where(F.size("v") == width)
     # the query set is stated; it meets all rows in blocks, so each task holds one block of either side
-    block = F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(n_blocks))
-    query_block = F.pmod(F.xxhash64(F.lit("query"), "id"), F.lit(n_query_blocks))
+    block = F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(n_blocks)).cast("int")
+    query_block = F.pmod(F.xxhash64(F.lit("query"), "id"), F.lit(n_query_blocks)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     candidates = rows.withColumn("block", block).withColumn("query_block", every(n_query_blocks))
     queries = rows.where(is_query).withColumn("query_block", query_block).withColumn("block", every(n_blocks))
