@@ -46,10 +46,10 @@ def _valid(idx: Column, value: Column, rules: tuple[R.Rule, ...]) -> Column:
     return F.lit(True) if chain is None else chain.otherwise(True)
 
 
-def regex_candidates(content: Column, reputation: Column, rules: tuple[R.Rule, ...] = R.RULES) -> Column:
-    """Validated and scored matches, published or not, as an array of candidates."""
+def regex_candidates(content: Column, reputation: Column, rules: tuple[R.Rule, ...] = R.RULES, found: Column | None = None) -> Column:
+    """Validated and scored matches, published or not, as an array of candidates; ``found`` are the spans, if known."""
     keywords = F.array(*(_literals(r.keywords) if r.keywords else F.array().cast("array<string>") for r in rules))
-    valid = F.filter(rule_spans(content, rules), lambda s: _valid(s["rule_idx"], s["value"], rules))
+    valid = F.filter(rule_spans(content, rules) if found is None else found, lambda s: _valid(s["rule_idx"], s["value"], rules))
     placed = F.transform(valid, lambda s: F.struct(s.alias("s"), text.window(content, s["start"], s["end"]).alias("near")))
 
     def scored(p: Column) -> Column:
@@ -86,10 +86,31 @@ def regex_candidates(content: Column, reputation: Column, rules: tuple[R.Rule, .
     return F.transform(F.transform(placed, scored), candidate).cast(_CANDIDATES)
 
 
-def regex_findings(content: Column, reputation: Column, rules: tuple[R.Rule, ...] = R.RULES) -> Column:
+def settled(candidates: Column) -> Column:
     """Candidates worth publishing, overlapping ones suppressed."""
-    worth = F.filter(regex_candidates(content, reputation, rules), lambda c: text.publishable(c["confidence_score"]))
-    return overlap.by_priority(worth, _CANDIDATES)
+    return overlap.by_priority(F.filter(candidates, lambda c: text.publishable(c["confidence_score"])), _CANDIDATES)
+
+
+def regex_findings(content: Column, reputation: Column, rules: tuple[R.Rule, ...] = R.RULES) -> Column:
+    return settled(regex_candidates(content, reputation, rules))
+
+
+def count_by_entity(df: DataFrame, content: str = "text", path: str | None = None) -> DataFrame:
+    """entity_type, checked, validated, published: how many matches of the rules got how far, in one pass over the texts."""
+    rows = _prepared(df, [], content, path).withColumn("_spans", rule_spans(F.col("_text")))
+    rows = rows.withColumn("_candidates", regex_candidates(F.col("_text"), F.col("_reputation"), found=F.col("_spans")))
+    steps = {
+        "checked": F.transform("_spans", lambda s: _of_rule([r.entity for r in R.RULES], s["rule_idx"])),
+        "validated": F.transform("_candidates", lambda c: c["entity_type"]),
+        "published": F.transform(settled(F.col("_candidates")), lambda c: c["entity_type"]),
+    }
+
+    def marked_as(kind: str, found: Column) -> Column:
+        return F.transform(found, lambda e: F.struct(e.alias("entity_type"), F.lit(kind).alias("kind")))
+
+    marked = F.concat(*(marked_as(kind, found) for kind, found in steps.items()))
+    reached = rows.select(F.explode_outer(marked).alias("m")).where("m is not null").select("m.*")
+    return reached.groupBy("entity_type").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in steps))
 
 
 def entropy_findings(content: Column, reputation: Column) -> Column:

@@ -42,16 +42,6 @@ def to_findings(candidates: DataFrame, path: str | None = "file_path", ordinal:
     )
 
 
-def count_by_entity(checked: DataFrame, validated: DataFrame, published: DataFrame) -> DataFrame:
-    """entity_type, checked, validated, published: how many matches got how far."""
-    kinds = {"checked": checked, "validated": validated, "published": published}
-    marked = None
-    for name, df in kinds.items():
-        one = df.select("entity_type", F.lit(name).alias("kind"))
-        marked = one if marked is None else marked.unionAll(one)
-    return marked.groupBy("entity_type").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
-
-
 def decisions(files: DataFrame, path: str = "path", tables: str | None = None) -> DataFrame:
     """The files with their scan decision."""
     return files.withColumn("decision", paths.scan_decision(F.col(path), F.col(tables) if tables else None))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veilscan import rules as R
 from veilscan.functions import decoders, entropy, paths, text, validators
 from veilscan.operators import correlation, detect, findings
+from veilscan.operators.layout import spread
 from veilscan.plans import fixtures
 from veilscan.plans import sql as S
 
@@ -265,7 +266,7 @@ _add(
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/pages.parquet").where("html is not null").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("/srv/config.json").alias("path"))
+    return spread(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html").where("html is not null")).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("/srv/config.json").alias("path"))
 
 
 _PAGES_SQL = "docs AS (SELECT page_id AS doc_id, html AS text, '/srv/config.json' AS path FROM pages WHERE html IS NOT NULL)"
@@ -273,7 +274,7 @@ _add("regex_findings_pages", lambda spark, d: _result(detect.detect_regex(_pages
 
 
 def _conversations(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/conversations.parquet").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.lit("/srv/config.json").alias("path"))
+    return spread(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text").where("text is not null")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.lit("/srv/config.json").alias("path"))
 
 
 _TALKS_SQL = "docs AS (SELECT conv_id * 1000 + turn AS doc_id, text, '/srv/config.json' AS path FROM conversations WHERE text IS NOT NULL)"
@@ -324,19 +325,12 @@ _add(
 _add("findings_strict", _docs_query(lambda docs: _stored(docs, "strict")))
 _add(
     "findings_by_entity",
-    _docs_query(lambda docs: _by_entity(docs)),
+    _docs_query(lambda docs: detect.count_by_entity(docs, path="path")),
     f"WITH {S.DOCS}, {S.candidates()}, {_PUBLISHED}, {S.greedy('published', 'kept')}, checked AS (SELECT {S.attribute([r.entity for r in R.RULES], 'rule_idx')} AS entity_type, count(*) AS checked FROM spans GROUP BY 1) "
     "SELECT c.entity_type, c.checked, coalesce(v.n, 0) AS validated, coalesce(p.n, 0) AS published FROM checked c LEFT JOIN (SELECT entity_type, count(*) AS n FROM candidates GROUP BY 1) v USING (entity_type) LEFT JOIN (SELECT entity_type, count(*) AS n FROM kept GROUP BY 1) p USING (entity_type)",
 )
 
 
-def _by_entity(docs: DataFrame) -> DataFrame:
-    prepared = detect._prepared(docs, ["doc_id"], "text", "path")
-    spans = prepared.select(F.explode_outer(detect.rule_spans(F.col("_text"))).alias("s")).where("s is not null")
-    checked = spans.select(detect._of_rule([r.entity for r in R.RULES], F.col("s.rule_idx")).alias("entity_type"))
-    return findings.count_by_entity(checked, detect.detect_candidates(docs, ["doc_id"], path="path"), _overlap(docs))
-
-
 def _counters(docs: DataFrame) -> DataFrame:
     return _union(docs).agg(*findings.metrics(docs))
 

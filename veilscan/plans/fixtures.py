@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilscan.operators.layout import spread
+
 #: Paths given to documents by doc_id modulo their number.
 PATHS = (
     "/srv/app/.env",
@@ -61,7 +63,7 @@ def pick(values: tuple[str, ...], number: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with a planted match, path."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null"))
     return docs.select("doc_id", F.concat("text", pick(PLANTED, F.col("doc_id"))).alias("text"), pick(PATHS, F.floor(F.col("doc_id") / 7)).alias("path"))
 
 
