@@ -8,7 +8,8 @@ of urls is probed with one vectorised binary search, and each hit is confirmed a
 
 An entry fits its host and all subdomains, where the url's path starts with the entry's path.  For a url, every
 suffix of its host at a dot is probed first, which says what path lengths the list has below that host; then the
-host with each such part of the path is.  The longest entry wins.
+host with each such part of the path is.  The longest entry wins, of equally long ones that with the longer
+host.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path and fits nothing; urls without a
 fitting entry get the default verdict; repeated rows are judged one by one; an empty table gives an empty result;
