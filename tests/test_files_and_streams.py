@@ -27,7 +27,7 @@ def test_scan_decision(spark, path, decision):
 
 
 def test_walk_lists_hidden_files_and_prunes(spark):
-    home = folders.made_folder()
+    home = folders.made_folder(spark)
     listed = {os.path.relpath(r["path"], home): r for r in files.list_files(spark, [home]).collect()}
     assert ".env" in listed and "deep/er/settings.yaml" in listed and not any("node_modules" in p for p in listed)
     assert listed["people.db"]["table_names"] == ["notes", "people"]
