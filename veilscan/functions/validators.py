@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,6 +84,8 @@ def jwt(value: Column) -> Column:
     return (F.size(parts) == 3) & ~F.exists(parts, lambda p: p == "") & is_json(1) & is_json(2)
 
 
-def by_name(name: str, value: Column) -> Column:
+def by_name(name: str | Callable[[Column], Column], value: Column) -> Column:
+    if callable(name):
+        return name(value)
     own = {"luhn": luhn, "verhoeff": verhoeff, "pan": pan, "upi": upi, "jwt": jwt}
     return own[name](value) if name in own else shape(name, value)

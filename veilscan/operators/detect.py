@@ -188,10 +188,10 @@ def detect_candidates(df: DataFrame, keep: list[str], content: str = "text", pat
     return _exploded(_prepared(df, keep, content, path), keep, regex_candidates(F.col("_text"), F.col("_reputation"), rules))
 
 
-def detect_regex(df: DataFrame, keep: list[str], content: str = "text", path: str | None = None) -> DataFrame:
-    """Findings of the path rules and of the rules over the text; none below suppressed paths."""
+def detect_regex(df: DataFrame, keep: list[str], content: str = "text", path: str | None = None, rules: tuple[R.Rule, ...] = R.RULES) -> DataFrame:
+    """Findings of the path rules and of ``rules`` over the text; none below suppressed paths."""
     rows = _prepared(df, keep, content, path).where(~paths.is_suppressed(F.col("_path")))
-    found = F.concat(path_findings(F.col("_path"), F.col("_reputation")), F.coalesce(regex_findings(F.col("_text"), F.col("_reputation")), F.array().cast(_CANDIDATES)))
+    found = F.concat(path_findings(F.col("_path"), F.col("_reputation")), F.coalesce(regex_findings(F.col("_text"), F.col("_reputation"), rules), F.array().cast(_CANDIDATES)))
     return _exploded(rows, keep, found)
 
 
@@ -207,7 +207,7 @@ def decode_variants(df: DataFrame, keep: list[str], content: str = "text") -> Da
     return rows.where("variant is not null").withColumn("variant_no", F.col("variant_no") + 1)
 
 
-def detect(df: DataFrame, keep: list[str], content: str = "text", path: str | None = None, mode: str = "compat") -> DataFrame:
+def detect(df: DataFrame, keep: list[str], content: str = "text", path: str | None = None, mode: str = "compat", rules: tuple[R.Rule, ...] = R.RULES) -> DataFrame:
     """Findings of all detectors over a text and its decoded variants.
 
     ``compat``: findings of rules are final for each variant (a path's own finding comes once for each), and only
@@ -221,7 +221,7 @@ def detect(df: DataFrame, keep: list[str], content: str = "text", path: str | No
     rows = rows.withColumn("_open", ~paths.is_suppressed(F.col("_path"))).withColumn("_source", ~paths.is_generated_source(F.col("_path")))
     none = F.array().cast(_CANDIDATES)
     own = path_findings(F.col("_path"), F.col("_reputation"))
-    by_rule = F.transform("_texts", lambda t: regex_findings(t, F.col("_reputation")))
+    by_rule = F.transform("_texts", lambda t: regex_findings(t, F.col("_reputation"), rules))
     random = F.transform("_texts", lambda t: entropy_findings(t, F.col("_reputation")))
     rows = rows.withColumn("_rule", F.when(F.col("_open"), by_rule)).withColumn("_random", F.when(F.col("_source"), random))
     if mode == "compat":

@@ -15,7 +15,7 @@ from veilscan import rules as R
 from veilscan.functions import decoders, entropy, paths, text, validators
 from veilscan.operators import correlation, detect, findings
 from veilscan.operators.layout import spread
-from veilscan.plans import fixtures
+from veilscan.plans import fixtures, jobs
 from veilscan.plans import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +161,12 @@ _add(
     lambda spark, d: fixtures.files(spark, d).select("doc_id", paths.triage(F.col("path"), F.col("head")).alias("parser")),
     f"WITH {_FILES_SQL} SELECT doc_id, CASE {_MAGIC_SQL} WHEN length(head) = 0 OR {_CONTROL_SQL} / (length(head) / 2.0) < {R.CONTROL_SHARE} THEN 'text_parser' ELSE 'SKIP' END AS parser FROM files",
 )
+_PARSER_SQL = f"CASE {_MAGIC_SQL} WHEN length(head) = 0 OR {_CONTROL_SQL} / (length(head) / 2.0) < {R.CONTROL_SHARE} THEN 'text_parser' ELSE 'SKIP' END"
+_add(
+    "scan_outcomes",
+    lambda spark, d: jobs.outcomes(fixtures.files(spark, d), spark.createDataFrame([("/home/u/.env",), ("/srv/app/config",)], "path string")).groupBy("outcome").agg(F.count("*").alias("n")),
+    f"WITH {_FILES_SQL}, judged AS (SELECT *, {_DECISION} AS decision, {_PARSER_SQL} AS parser FROM files) SELECT CASE WHEN path IN ('/home/u/.env', '/srv/app/config') THEN 'honeytoken' WHEN decision <> 'scan' THEN decision WHEN length IS NULL THEN 'unreadable' WHEN length > {R.MAX_FILE_BYTES} THEN 'too_large' WHEN parser NOT IN ('text_parser', 'sqlite_parser') THEN 'no_parser' ELSE 'scanned' END AS outcome, count(*) AS n FROM judged GROUP BY 1",
+)
 _PATHS_ONLY = f"WITH {S.DOCS}"
 _add(
     "path_rule_findings",

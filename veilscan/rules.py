@@ -5,6 +5,7 @@ Everything in this module is a fixed value: results are only right if they are e
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 HIGH, MEDIUM = "HIGH_SENSITIVE", "MEDIUM_SENSITIVE"
@@ -12,14 +13,18 @@ HIGH, MEDIUM = "HIGH_SENSITIVE", "MEDIUM_SENSITIVE"
 
 @dataclass(frozen=True)
 class Rule:
-    """A candidate pattern.  ``guard`` is a cheap pattern that any text with a match also has."""
+    """A candidate pattern.  ``guard`` is a cheap pattern that any text with a match also has.
+
+    ``validator`` is the name of one of this library's or, for rules of one's own, a function from a Column of
+    matched values to a boolean Column.
+    """
 
     name: str
     entity: str
     pattern: str
     category: str
     keywords: tuple[str, ...]
-    validator: str | None = None
+    validator: str | Callable | None = None
     strong: bool = False
     guard: str | None = None
 
