@@ -91,3 +91,33 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if new.where("root <> old").isEmpty():
             return roots
     raise RuntimeError("components did not settle")
+
+
+#: A bitmap row has this many bits; all rows together are at most 2 ** 30 bits, 128 MB, however many ids there are.
+_BITMAP_BITS, _LEAST_BITS, _MOST_BITS = 32_768, 20, 30
+
+
+def mark_members(df: DataFrame, key: str, ids: DataFrame, mark: str) -> DataFrame:
+    """``df`` with a boolean column: false only for rows whose ``key`` is surely none of ``ids`` (one column, long).
+
+    The ids' hashes set bits of a bitmap whose size is bounded, so it can be broadcast whatever their number; rows
+    that are told apart by it need no shuffle.
+    """
+    column = ids.columns[0]
+    n = max(1, ids.count())
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (16 * n).bit_length()))
+
+    def spot(c: F.Column) -> F.Column:
+        return F.pmod(F.xxhash64(F.lit("bitmap"), c.cast("long")), F.lit(1 << bits))
+
+    def row(c: F.Column) -> F.Column:
+        return F.floor(spot(c) / _BITMAP_BITS)
+
+    at = spot(F.col(column)) % _BITMAP_BITS
+    bitmap = ids.groupBy(row(F.col(column)).alias("_row")).agg(F.bitmap_construct_agg(at).alias("_bitmap"))
+    place = spot(df[key]) % _BITMAP_BITS
+    byte = F.conv(F.hex(F.col("_bitmap").substr((F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (place % 8).cast("int") + 1)
+    member = F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))
+    marked = df.join(F.broadcast(bitmap), row(df[key]) == F.col("_row"), "left")
+    return marked.select(*(df[c] for c in df.columns), member.alias(mark))

@@ -15,7 +15,7 @@ components are known, every member outside its bucket's largest component is hel
 components, block by block, so that no task holds more than two blocks: a bound from hashed k-mer counts (two texts
 differ in at least as many k-mers as their counts do) leaves those few that can pass, and these are aligned too.
 
-Defined results: a null text is alone in its class; texts without a word are copies of each other; texts of
+Defined results: a null text is alone in its class; a row without a doc_id has the class of its equals, if any; texts without a word are copies of each other; texts of
 fewer than five words have one k-mer, the whole text; repeated rows are copies; an empty table gives an empty
 result; columns other than ``doc_id`` and ``text`` are ignored.
 """
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import WORDS, components, written
+from veilscan.llm.common import WORDS, components, mark_members, written
 
 K = 5
 ELL = 3
@@ -194,8 +194,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(alignment(last[1], labelled_kmers(tb)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    # only the texts of documents in pairs are moved
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = written(mark_members(texts, "doc_id", ids, "in_pairs").where("in_pairs").drop("in_pairs"), "texts")
+    left = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
@@ -208,12 +211,13 @@ def ordered_pairs(x: str, y: str) -> list[F.Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def first_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs to compare first, a few for each member of each bucket (key, id, n, size, hubs)."""
+def first_pairs(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs to compare first, a few for each member of each bucket (key, id, n, size)."""
     few = buckets.where(F.col("size") <= SMALL)
+    many = buckets.where(F.col("size") > SMALL).join(hubs, "key")
     by_id = Window.partitionBy("key").orderBy("id")
     ahead = F.array(*(F.lead(F.struct("id", "n"), k).over(by_id) for k in range(1, SMALL)))
-    meets = few.select("id", "n", ahead.alias("others")).unionAll(buckets.where(F.col("size") > SMALL).select("id", "n", F.col("hubs").alias("others")))
+    meets = few.select("id", "n", ahead.alias("others")).unionAll(many.select("id", "n", F.col("hubs").alias("others")))
     pairs = meets.select("id", "n", F.explode("others").alias("o")).where(F.col("o").isNotNull() & (F.col("o.id") != F.col("id")) & may_pass(F.col("n"), F.col("o.n")))
     return pairs.select(*ordered_pairs("id", "o.id")).distinct()
 
@@ -264,12 +268,12 @@ def near_classes(docs: DataFrame, texts: DataFrame | None = None) -> tuple[DataF
     facts = base.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("keys", "n", "cells")))
     distinct = written(facts, "distinct")
 
-    entries = distinct.where(F.size("keys") > 0).select("id", "n", F.explode("keys").alias("key"))
+    entries = distinct.where((F.size("keys") > 0) & F.col("id").isNotNull()).select("id", "n", F.explode("keys").alias("key"))
     sizes = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     held = written(entries.join(sizes, "key"), "buckets")
     met = written(held.groupBy("id").agg(F.sum("size").alias("met")), "met")
     hubs = written(hubs_of(held.where(F.col("size") > SMALL).join(met, "id")), "hubs")
-    tested = written(verified(first_pairs(held.join(hubs, "key", "left")), texts), "tested")
+    tested = written(verified(written(first_pairs(held, hubs), "pairs"), texts), "tested")
     links = tested.where(F.col("similarity") >= SIMILARITY)
     roots = written(components(links), "components")
 
@@ -279,7 +283,7 @@ def near_classes(docs: DataFrame, texts: DataFrame | None = None) -> tuple[DataF
     open_ = groups.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("groups"), F.sum("k").alias("members")).where("groups > 1")
     open_ = written(open_.select("key", F.col("top.root").alias("main"), (F.col("members") - F.col("top.k")).alias("outside"), "members"), "open")
     later = outside_pairs(large.join(open_, "key"), distinct).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(verified(later, texts), "tested").where(F.col("similarity") >= SIMILARITY)
+    more = written(verified(written(later, "pairs"), texts), "tested").where(F.col("similarity") >= SIMILARITY)
     links = links.unionAll(more)
     if not more.isEmpty():
         roots = components(links)
@@ -289,8 +293,14 @@ def near_classes(docs: DataFrame, texts: DataFrame | None = None) -> tuple[DataF
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` (all columns) for each class: that with the least doc_id, one of its repetitions."""
-    classes, _ = near_classes(docs)
-    kept = written(classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
-    rows = docs.join(kept.where("kept_id is not null").select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return rows if kept.where("n > 1").isEmpty() else rows.dropDuplicates(["doc_id"])
+    """One row of ``docs`` (all columns) for each class: that with the least doc_id, one of its repetitions.
+
+    Rows without a doc_id stay.  Rows that are not in question are not moved; the others meet the list of what goes.
+    """
+    classes = written(near_classes(docs)[0].where("doc_id is not null"), "classes")
+    dropped = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    marked = mark_members(docs, "doc_id", dropped, "in_question")
+    rows = marked.where("not in_question").unionAll(marked.where("in_question").join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")).drop("in_question")
+    if classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return rows
+    return rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(rows.where("doc_id is null"))
