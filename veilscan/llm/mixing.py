@@ -1,11 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source's documents are shuffled by a hash and queue up, once for each repeat that its target may need; a
-document's virtual finish time is its source's words up to and with it, divided by the source's target.  The
-mix takes documents by finish time over all sources until the total budget is used up.  Running sums are made of
-two parts, the sums of whole hash ranges (an aggregate) and a window inside one range, so no task ever holds a
-source: a range has about half an even partition's share of all rows.  The global order is likewise a
-histogram of finish times, and only the bin in which the budget ends is sorted.
+document's virtual finish time is its source's words up to and with it, divided by the source's target, and the
+same holds for each of its words.  All sources together are then range-sorted by finish time and the line is
+truncated at the total budget: at virtual time 1, or earlier for a smaller budget.  A document that is being
+served when the budget ends is taken up to the word that is reached, so every source gets its target but for a
+part of a word.
+
+Running sums are made of two parts, the sums of whole hash ranges (an aggregate) and a window inside one range, so
+no task ever holds a source: a range has about half an even partition's share of all rows.
 
 Targets: see :func:`allocate`.  Sources are expected to be few enough for one row each on the driver.
 
@@ -16,6 +19,8 @@ than ``doc_id``, ``text`` and ``source`` are ignored by :func:`mix`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +30,6 @@ from veilscan.llm.common import WORD_PATTERN, written
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 REPEATS = 2.0
-#: Words are counted as whole sizes; finish times are binned this finely for the global order.
-BINS = 8192
 
 
 def allocate(sizes: list[float], weights: list[float], total: float, repeats: float) -> list[float]:
@@ -63,58 +66,68 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return spark.createDataFrame(data, "source string, source_size long, target double, ranges long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, seed: int = 4) -> DataFrame:
-    """For each document: doc_id, size, source_size, target, taken (words), times (how often it is taken whole or in part)."""
+def last_time(targets: DataFrame, budget: float | None) -> float:
+    """The virtual time at which the budget ends: all queues are served until then, each by its target."""
+    total = sum(r["target"] for r in targets.select("target").collect())
+    return 1.0 if budget is None or budget >= total else budget / total
+
+
+def spot(doc_id: F.Column, seed: int) -> F.Column:
+    """A document's place in its source's shuffled line: a hash of its id as a number in [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id.cast("long")), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def queued(docs: DataFrame, weights: tuple[float, ...], share: float, repeats: float, seed: int, budget: float | None) -> DataFrame:
+    """doc_id, source, size, source_size, target, spot, first (words of its source before it), words (taken in each lap)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")), "sized")
     targets = source_targets(sized, weights, share, repeats)
     sources = F.broadcast(targets.withColumnRenamed("source", "s"))  # one row for each source
-    place = F.xxhash64(F.lit(seed), "doc_id")
-    # the hash's upper bits as a number in [0, 1): ranges of it keep the shuffled order
-    spot = (F.shiftrightunsigned(place, 11).cast("double") / F.lit(float(1 << 53))).alias("spot")
-    rows = sized.withColumn("spot", spot).join(sources, sized.source.eqNullSafe(F.col("s"))).drop("s")
+    rows = sized.withColumn("spot", spot(F.col("doc_id"), seed)).join(sources, sized.source.eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("range", F.floor(F.col("spot") * F.col("ranges")))
     of_range = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = of_range.withColumn("before", F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("source", "range", F.coalesce("before", F.lit(0)).alias("before"))
+    before = before.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce("before", F.lit(0)).alias("before"))
     inside = Window.partitionBy("source", "range").orderBy("spot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = rows.withColumn("inside", F.sum("size").over(inside))
-    joined = running.join(before.withColumnsRenamed({"source": "s", "range": "r"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
-    queue = joined.select("doc_id", "source", "size", "source_size", "target", (F.col("before") + F.col("inside")).alias("upto"), F.monotonically_increasing_id().alias("row"))
-    queue = written(queue, "queue")
-
-    # a repeat queues behind the whole of its source
-    laps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.lit(int(repeats)) - 1, F.ceil(F.try_divide("target", F.col("source_size"))).cast("int") - 1)))
-    waiting = queue.where("size > 0 and target > 0").select("row", "size", F.explode(laps).alias("lap"), "target", "source_size", "upto", F.xxhash64("source", "doc_id").alias("tie"))
-    waiting = waiting.withColumn("finish", (F.col("lap") * F.col("source_size") + F.col("upto")) / F.col("target"))
-    # every source is served up to its target at virtual time 1, when the budget ends; later ones fall in the last bin
-    waiting = waiting.withColumn("bin", F.least(F.lit(BINS * 4), F.floor(F.col("finish") * BINS)).cast("int"))
-    budget = int(sum(r["target"] for r in targets.select("target").collect()))
-    total, last, left = 0, None, 0
-    for r in sorted(waiting.groupBy("bin").agg(F.sum("size").alias("size")).collect(), key=lambda r: r["bin"]):
-        if total + r["size"] > budget:
-            last, left = r["bin"], budget - total
-            break
-        total += r["size"]
-    if last is None:
-        served = waiting.select("row", F.col("size").alias("words"))
-    else:
-        order = Window.partitionBy("bin").orderBy("finish", "tie", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ends = waiting.where(F.col("bin") == last).withColumn("sum", F.sum("size").over(order))
-        part = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(left) - F.col("sum") + F.col("size")))
-        served = waiting.where(F.col("bin") < last).select("row", F.col("size").alias("words")).unionAll(ends.select("row", part.cast("long").alias("words")))
-    taken = served.where("words > 0").groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("times"))
-    out = queue.join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("times", F.lit(0)).cast("int").alias("times"))
-
-
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that the mix takes, each as often as it takes it.
-
-    Rows of equal doc_id count as one document here: the mix is made of its first row by size.
+    joined = running.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    # a repeat queues behind the whole of its source, so each lap begins where the one before ended
+    first = F.col("before") + F.col("inside") - F.col("size")
+    end = F.floor(F.col("target") * F.lit(last_time(targets, budget)) + 1e-6)
+    words = (F.greatest(F.lit(0), F.least(F.col("size"), end - lap * F.col("source_size") - first)) for lap in range(math.ceil(repeats)))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "spot", first.alias("first"), F.array(*words).alias("words"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, seed: int = 4, budget: float | None = None) -> DataFrame:
+    """For each document, in the order of the mix: doc_id, size, source_size, target, taken (words), times (how often
+    it is taken in whole or in part), finish (its first virtual finish time).
+
+    The total budget is the sum of the targets unless a smaller one is given.
+    """
+    queue = queued(docs, weights, share, repeats, seed, budget)
+    out = queue.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w).alias("taken"),
+        F.size(F.filter("words", lambda w: w > 0)).alias("times"),
+        F.try_divide((F.col("first") + F.col("size")).cast("double"), F.col("target")).alias("finish"),
+    )
+    return out.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
+
+
+def keep(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, seed: int = 4, budget: float | None = None) -> DataFrame:
+    """The rows of ``docs`` (all columns) that the mix takes, whole, each as often as it takes it.
+
+    A source's line is taken up to one document in each lap, so where that one stands decides for all others: the
+    texts themselves are not moved.
     """
-    taken = mix(docs).groupBy("doc_id").agg(F.max("times").alias("times")).where("times > 0")
-    taken = written(taken.select(F.col("doc_id").alias("taken_id"), "times"), "taken")
-    rows = docs.join(taken, F.col("doc_id") == F.col("taken_id"))
-    repeated = rows.withColumn("lap_of_mix", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.select(*(docs[c] for c in docs.columns))
+    laps = range(math.ceil(repeats))
+    ends = queued(docs, weights, share, repeats, seed, budget).groupBy("source").agg(*(F.max(F.when(F.col("words")[k] > 0, F.col("spot"))).alias(f"end{k}") for k in laps))
+    ends = written(ends, "ends")
+    cuts = F.broadcast(ends.select(F.col("source").alias("source_of_line"), F.array(*(f"end{k}" for k in laps)).alias("ends_of_line")))  # one row for each source
+    rows = docs.where(docs["text"].rlike(WORD_PATTERN)).join(cuts, docs["source"].cast("string").eqNullSafe(F.col("source_of_line")))
+    place = spot(docs["doc_id"], seed)
+    taken = rows.withColumn("lap_of_mix", F.explode(F.filter("ends_of_line", lambda e: place <= e)))
+    return taken.select(*(docs[c] for c in docs.columns))
