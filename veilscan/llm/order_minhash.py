@@ -62,7 +62,7 @@ _SEEDS = _mix(np.arange(1, TABLES + 1, dtype=np.uint64) * _MIX1)
 class Hasher:
     """64-bit hashes of words, kept within a bound."""
 
-    MAX_WORDS = 300_000
+    MAX_WORDS = 120_000
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}

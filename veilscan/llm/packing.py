@@ -119,7 +119,7 @@ class WordIds:
     merged once while it is remembered; any other text goes through the library as a whole.
     """
 
-    MAX_WORDS = 400_000
+    MAX_WORDS = 150_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer

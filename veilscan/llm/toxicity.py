@@ -152,7 +152,7 @@ class Model:
 class Scorer:
     """Scores texts with a model; keeps what it has found out about words, within a bound."""
 
-    MAX_WORDS = 300_000
+    MAX_WORDS = 120_000
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -222,15 +222,23 @@ def _grams(text: str | None) -> set[str]:
 
 
 def _counted(texts: DataFrame, keep: frozenset[str] | None) -> DataFrame:
-    """How many texts have each gram (of ``keep``, where given): counted in each partition, then summed."""
+    """How many texts have each gram (of ``keep``, where given): counted in parts of bounded size, then summed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+
+        def counts() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+            seen.clear()
+            return out
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 grams = _grams(text)
                 seen.update(grams if keep is None else grams & keep)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+                if len(seen) > 100_000:
+                    yield counts()
+        yield counts()
 
     return texts.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
