@@ -103,6 +103,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         projected = np.append(query, 0.0) @ axes
         bounds = tree.bounds(projected)
         length = float(query @ query) + top
+        slack = 1e-12 * length
         ranked = np.argsort(bounds, kind="stable")
         got_i, got_s, have, worst = np.empty(0, np.int64), np.empty(0), 0, math.inf
         step = 1
@@ -115,12 +116,13 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             at += step
             step = min(2 * step, 32)
             verified += len(chosen)
-            scores = distinct[chosen] @ query
             if have >= k:
-                near = scores >= got_s.min()
-                chosen, scores = chosen[near], scores[near]
+                # a fast product screens with some room for rounding
+                chosen = chosen[distinct[chosen] @ query >= got_s.min() - slack]
             if not len(chosen):
                 continue
+            # row by row in one order of summation, so that equal vectors have equal scores in every block
+            scores = (distinct[chosen] * query).sum(axis=1)
             # the k + 1 least ids of each distinct vector, the query's own left out
             counts = np.minimum(starts[chosen + 1] - starts[chosen], k + 1)
             at_rows = np.repeat(starts[chosen], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
