@@ -35,7 +35,7 @@ def test_narrow_margins_are_rejected():
     assert classifier.classify("die katze auf dem tisch")[0::3] == ("b", False)
     lang, score, margin, rejected = classifier.classify("zq xv")
     assert lang in "ab" and rejected and margin < L.MARGIN and score <= 0.6
-    for text in (None, "", "123 !? 😀"):
+    for text in (None, "", "123 !? 😀", "² Ⅳ"):
         assert classifier.classify(text) == ("und", 0.0, 0.0, True)
 
 

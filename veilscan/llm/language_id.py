@@ -15,11 +15,11 @@ empty result; columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ MARGIN = 0.004
 #: How a margin becomes a score.
 SHARPNESS = 60.0
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def train(texts: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> dict[str, bytes]:
