@@ -94,3 +94,41 @@ def test_greedy_cover_ignores_what_adds_nothing():
     positive = {i: {"idio", "idiot$"} | ({"copy$"} if i < 20 else set()) for i in range(40)}
     entries = toxicity.choose_entries(positive, dict.fromkeys(itertools.chain.from_iterable(positive.values()), 1.0), 5)
     assert [(e.text, e.stem) for e in entries][0] == ("idiot", False)
+
+
+def test_default_terms_stay_and_few_rows_teach(spark):
+    """One very common word explains most rows; the default terms, rarer words and beginnings of few rows hold too."""
+    rng = random.Random(11)
+    known = ["".join(rng.choices("bcdfglmnrtuv", k=8)) for _ in range(300)]
+    word = lambda: rng.choice(known)
+    rows = []
+    for i in range(330):
+        words = [word() for _ in range(150)]
+        extra = ["trash"] if i < 20 else ["gribblk"] if i < 23 else ["hexoma" + word() for _ in range(4)] if i < 26 else ["hexoma" + word()] if 30 <= i < 60 else []
+        for e in extra:
+            words.insert(rng.randrange(len(words)), e)
+        rows.append((i, " ".join(words), int(i < 26)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("text").join(docs.select("doc_id", "text"), "doc_id"), docs.select("doc_id", "toxic"))
+    assert {"trash", "gribblk"} <= {e.text for e in model.entries if not e.share} and set(toxicity.DEFAULT_TERMS) <= {e.text for e in model.entries}
+    assert any(e.text.startswith("hexo") and e.share for e in model.entries)
+    scorer = Scorer(model)
+    scores = {r[0]: scorer.score(scorer.features(r[1])) for r in rows}
+    assert {i for i, s in scores.items() if s >= toxicity.THRESHOLD} == set(range(26))
+    assert scorer.score(scorer.features("you are an idiot")) >= toxicity.THRESHOLD
+
+
+def test_copied_passages_teach_nothing(spark):
+    passage = " ".join(f"passage{chr(97 + i)}" for i in range(20))
+    rows = [(i, f"{passage} plain{i}", int(i < 8)) for i in range(8)] + [(i, f"plain{i} other words here", 0) for i in range(8, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    # the last word stands before a different one each time
+    assert not [e.text for e in model.entries if e.text.startswith("passage") and e.text not in ("passage", "passaget")]
+
+
+def test_recall_by_language(spark):
+    rows = registry.op1_toxicity(spark, MIDDLE).join(table(spark, "labels", MIDDLE).where("toxic = 1"), "doc_id").join(documents(spark, MIDDLE).select("doc_id", "lang"), "doc_id").collect()
+    caught = {lang: [r["predicted"] for r in rows if r["lang"] == lang] for lang in ("de", "en", "es", "fr")}
+    # a few labels say toxic without anything in the text that does
+    assert {lang: (sum(c), len(c)) for lang, c in caught.items()} == {"de": (6, 6), "en": (33, 36), "es": (4, 4), "fr": (3, 5)}

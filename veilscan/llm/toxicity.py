@@ -7,8 +7,11 @@ so a word costs one table look-up per letter.  Each hit is weighed by a window o
 between quotation marks, or after a reporting verb, counts as quotation, one with a person addressed nearby as
 abuse.  A ridge logistic model over these sums gives the score.
 
-Lexicon and weights are learned from labelled rows only: of a bounded sample, word beginnings that (almost) only
-toxic rows have, chosen greedily by how many toxic rows they newly explain.
+Lexicon and weights are learned from labelled rows only: of a bounded sample, words and word beginnings that
+(almost) only toxic rows have, chosen greedily by how many toxic rows they newly explain, then those that stand out
+beyond chance though others explain their rows.  A beginning that clean rows have too, now and then, is judged by
+its share: it counts only in texts where at least two different words, and a learned share of all different words,
+begin so.  What is learned is added to the default lexicon, which always holds.
 
 Defined results: a null or empty text has no hits and gets the model's base score; rows are scored one by one,
 so repeated rows get equal scores; an empty table gives an empty result; without labels the default lexicon and
@@ -24,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +41,13 @@ THRESHOLD = 0.3
 #: Word beginnings of these lengths, and whole words, may become entries.
 PREFIX_LENGTHS = range(4, 11)
 MAX_ENTRIES = 400
-#: Used where labels teach nothing.
+#: Shares, in thousandths of a text's different words, that the words with one beginning may have to reach.
+SHARES = (4, 8, 16, 32)
+#: So many toxic rows have to have a gram, at the least; a share already takes two different words in each.
+LEAST_ROWS, LEAST_SHARE_ROWS = 3, 2
+#: A gram that clean rows have too has to be so many times as frequent in toxic rows.
+PURER = 20
+#: Always in the lexicon; labels add to it.
 DEFAULT_TERMS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "imbecile", "retard")
 #: Words that report what somebody else said, and words that address or point at a person.
 REPORTING = frozenset("said says called calls wrote writes quote quoted quotes word term phrase heard reads titled sagte schrieb nannte zitat wort dit écrit appelé mot cité dijo escribió llamó palabra cita".split())
@@ -52,12 +62,17 @@ PRIOR = (-3.0, 2.5, 1.2, 0.3, 0.5, 1.0)
 
 @dataclass(frozen=True)
 class Entry:
-    """A lexicon entry; ``stem`` entries match the beginning of a word."""
+    """A lexicon entry; ``stem`` entries match the beginning of a word.
+
+    With a ``share`` (thousandths) a stem's hits count only where two different words, and that share of the text's
+    different words, begin with it.
+    """
 
     text: str
     edits: int
     stem: bool
     weight: float = 1.0
+    share: int = 0
 
 
 def allowed_edits(length: int) -> int:
@@ -156,16 +171,37 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.automaton = LexiconAutomaton(list(model.entries))
-        self.known: dict[str, tuple[int, int] | None] = {}
-
-    def hits(self, words: set[str]) -> dict[str, tuple[int, int]]:
+        self.plain = [e for e in model.entries if not e.share]
+        self.automaton = LexiconAutomaton(self.plain)
+        self.shared = {e.text: e for e in model.entries if e.share}
+        self.lengths = sorted({len(t) for t in self.shared}, reverse=True)
+        self.known: dict[str, tuple[Entry, int] | str | None] = {}
+
+    def _match(self, word: str) -> tuple[Entry, int] | str | None:
+        """The word's entry and edits, or the beginning whose share decides."""
+        found = self.automaton.match(word)
+        if found is not None:
+            return self.plain[found[0]], found[1]
+        return next((word[:k] for k in self.lengths if word[:k] in self.shared), None)
+
+    def hits(self, words: set[str]) -> dict[str, tuple[Entry, int]]:
         known = self.known
         if len(known) > self.MAX_WORDS:
             known.clear()
         for word in words.difference(known):
-            known[word] = self.automaton.match(word)
-        return {w: h for w in words if (h := known[w])}
+            known[word] = self._match(word)
+        found = {w: h for w in words if (h := known[w])}
+        if not self.shared:
+            return found
+        sizes = Counter(word[:k] for word in found for k in self.lengths if word[:k] in self.shared)
+        enough = {t for t, n in sizes.items() if n >= 2 and 1000 * n >= self.shared[t].share * len(words)}
+        out = {}
+        for w, h in found.items():
+            if not isinstance(h, str):
+                out[w] = h
+            elif (t := next((w[:k] for k in self.lengths if w[:k] in enough), None)) is not None:
+                out[w] = self.shared[t], 0
+        return out
 
     def spans(self, text: str | None) -> list[dict]:
         """Every hit of the text: start, end, word, entry, edits, quoted, addressed."""
@@ -181,8 +217,8 @@ class Scorer:
             around = [t[0] for t in tokens[max(0, i - CONTEXT_WORDS) : i]], [t[0] for t in tokens[i + 1 : i + 1 + CONTEXT_WORDS]]
             before, after = lower[max(0, start - _QUOTE_SPAN) : start], lower[end : end + _QUOTE_SPAN]
             quoted = self._in_quotes(before, after) or not REPORTING.isdisjoint(around[0])
-            k, edits = found[word]
-            out.append({"start": start, "end": end, "word": word, "entry": self.model.entries[k].text, "edits": edits, "weight": self.model.entries[k].weight, "quoted": quoted, "addressed": not ADDRESS.isdisjoint(around[0] + around[1])})
+            entry, edits = found[word]
+            out.append({"start": start, "end": end, "word": word, "entry": entry.text, "edits": edits, "weight": entry.weight, "quoted": quoted, "addressed": not ADDRESS.isdisjoint(around[0] + around[1])})
         return out
 
     @staticmethod
@@ -212,15 +248,31 @@ class Scorer:
 
 
 def _grams(text: str | None) -> set[str]:
-    """Word beginnings of the text, and its whole words with a ``$`` behind."""
-    out = set()
-    for word in set(TOKEN.findall((text or "").lower())):
-        if 3 < len(word) <= 40:
-            out.add(word + "$")
-            out.update(word[:k] for k in PREFIX_LENGTHS if k <= len(word))
+    """Word beginnings of the text, its whole words with a ``$`` behind, and beginnings with ``%`` and a share reached."""
+    words = set(TOKEN.findall((text or "").lower()))
+    out, begun = set(), Counter()
+    for word in words:
+        if len(word) > 3:
+            if len(word) <= 40:
+                out.add(word + "$")
+            begun.update(word[:k] for k in PREFIX_LENGTHS if k <= len(word))
+    out.update(begun)
+    out.update(f"{g}%{s}" for g, n in begun.items() if n > 1 for s in SHARES if 1000 * n >= s * len(words))
     return out
 
 
+def entry_of(gram: str) -> Entry:
+    """The lexicon entry that a gram stands for."""
+    if gram.endswith("$"):
+        return Entry(gram[:-1], allowed_edits(len(gram) - 1), False)
+    text, _, share = gram.partition("%")
+    return Entry(text, 0, True, 1.0, int(share or 0))
+
+
+def least_rows(gram: str) -> int:
+    return LEAST_SHARE_ROWS if "%" in gram else LEAST_ROWS
+
+
 def _counted(texts: DataFrame, keep: frozenset[str] | None) -> DataFrame:
     """How many texts have each gram (of ``keep``, where given): counted in parts of bounded size, then summed."""
 
@@ -243,33 +295,77 @@ def _counted(texts: DataFrame, keep: frozenset[str] | None) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def choose_entries(positive: dict[int, set[str]], good: dict[str, float], least: int, longest_first: bool = True) -> list[Entry]:
-    """Greedy cover of the positive rows: each new entry is the gram that explains the most rows not yet explained."""
+def _contexts(texts: DataFrame, keep: frozenset[str]) -> DataFrame:
+    """In how many contexts, pairs of the words before and after, the grams of ``keep`` (without shares) occur."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen: set[tuple[str, int]] = set()
+        for text in batch.column(0).to_pylist():
+            words = ["", *TOKEN.findall((text or "").lower()), ""]
+            for before, word, after in zip(words, words[1:], words[2:], strict=False):
+                if 3 < len(word):
+                    held = keep.intersection((word + "$", *(word[:k] for k in PREFIX_LENGTHS if k <= len(word))))
+                    if held:
+                        seen.update((g, xxhash.xxh3_64_intdigest(f"{before} {after}") >> 1) for g in held)
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int64())], names=["gram", "context"])
+
+    return map_batches(texts.select("text"), run, "gram string, context long").distinct().groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def default_entries() -> list[Entry]:
+    return [Entry(t, allowed_edits(len(t)), False) for t in DEFAULT_TERMS]
+
+
+def chance_rows(counts: Iterable[int], share: float) -> int:
+    """So many rows that of grams in ``counts`` rows hardly one in all is in toxic rows only by chance, if ``share`` are toxic."""
+    held = Counter(counts)
+    left, rows = held.total(), 1
+    while left * share**rows > 0.05:
+        left -= held[rows]
+        rows += 1
+    return rows
+
+
+def choose_entries(positive: dict[int, set[str]], good: dict[str, int], beyond_chance: int, given: Iterable[Entry] = ()) -> list[Entry]:
+    """Entries that add to those ``given``, by greedy cover of the positive rows: each is the gram that explains the
+    most rows not yet explained, while there are enough of these; then come the grams that only occur where others do
+    and are worth (``good``) at least ``beyond_chance`` rows."""
+    known = {e.text for e in given}
     rows: dict[str, set[int]] = {}
+    covered: set[int] = set()
     for i, grams in positive.items():
+        if any(t + "$" in grams for t in known):
+            covered.add(i)
         for g in grams & good.keys():
             rows.setdefault(g, set()).add(i)
+    gain = {g: n for g, ids in rows.items() if (n := len(ids - covered)) >= least_rows(g)}
+    # of equals the one that more rows have, a whole word before a share (of two words each), that before a stem, the more specific
+    kind = {g: 2 if g.endswith("$") else 1 if "%" in g else 0 for g in rows}
     chosen: list[Entry] = []
-    covered: Counter[int] = Counter()
-    while rows and len(chosen) < MAX_ENTRIES:
-        # rows explained by two entries are explained well enough: an entry has to add to the others
-        gain = {g: sum(1 for i in ids if covered[i] < 1) for g, ids in rows.items()}
-        most = max(gain.values())
-        if most < least:
-            break
-        # of equals the most specific: a whole word before a stem, a long stem before a short one
-        g = max((g for g in gain if gain[g] == most), key=lambda g: (len(rows[g]), g.endswith("$"), len(g), g))
-        text, stem = g.removesuffix("$"), not g.endswith("$")
-        chosen.append(Entry(text, 0 if stem else allowed_edits(len(text)), stem))
-        for i in rows.pop(g):
-            covered[i] += 1
-    known = {(e.text, e.stem) for e in chosen}
-    # grams as telling as the chosen ones that only occur where others do
-    for g, ids in sorted(rows.items(), key=lambda x: (-len(x[1]), not x[0].endswith("$"), -len(x[0]), x[0])):
-        text, stem = g.removesuffix("$"), not g.endswith("$")
-        if len(chosen) < MAX_ENTRIES and len(ids) >= max(4 * least, 0.05 * len(positive)) and not any(text.startswith(t) or t.startswith(text) for t, _ in known):
-            chosen.append(Entry(text, 0 if stem else allowed_edits(len(text)), stem))
-            known.add((text, stem))
+
+    def admit(g: str) -> None:
+        entry = entry_of(g)
+        chosen.append(entry)
+        known.add(entry.text)
+        for other in [f"{entry.text}%{s}" for s in SHARES] if entry.share else [g]:  # a beginning has one share
+            rows.pop(other, None)
+            gain.pop(other, None)
+
+    while gain and len(chosen) < MAX_ENTRIES:
+        g = max(gain, key=lambda g: (gain[g], len(rows[g]), kind[g], len(g), g))
+        new = rows[g] - covered
+        covered |= new
+        admit(g)
+        for other in set().union(*(positive[i] & gain.keys() for i in new)):
+            gain[other] -= len(rows[other] & new)
+            if gain[other] < least_rows(other):
+                del gain[other]
+    for g in sorted(rows, key=lambda g: (-good[g], -kind[g], -len(g), g)):
+        if len(chosen) >= MAX_ENTRIES or g not in rows or good[g] < beyond_chance:
+            continue
+        text = entry_of(g).text
+        if not any(text.startswith(t) or t.startswith(text) for t in known):
+            admit(g)
     return chosen
 
 
@@ -295,21 +391,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     try:
         sizes = {r["is_toxic"]: r["n"] for r in texts.groupBy("is_toxic").agg(F.count("*").alias("n")).collect()}
         n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
-        entries: list[Entry] = []
-        if n_pos >= 5 and n_neg >= 5:
-            least = max(5, round(0.01 * n_pos))
+        entries = default_entries()
+        if n_pos and n_neg:
+            least = F.when(F.col("gram").contains("%"), LEAST_SHARE_ROWS).otherwise(LEAST_ROWS)
             in_pos = {r["gram"]: r["n"] for r in _counted(texts.where("is_toxic"), None).where(F.col("n") >= least).collect()}
             in_neg = {r["gram"]: r["n"] for r in _counted(texts.where("not is_toxic"), frozenset(in_pos)).collect()}
-            good = {g: n / n_pos for g, n in in_pos.items() if (n + 0.5) / (n_pos + 1) > 20 * (in_neg.get(g, 0) + 0.5) / (n_neg + 1)}
-            keep = frozenset(good)
+
+            def pure(n: dict[str, int]) -> dict[str, int]:
+                return {g: k for g, k in n.items() if k >= least_rows(g) and (g not in in_neg or (k + 0.5) / (n_pos + 1) > PURER * (in_neg[g] + 0.5) / (n_neg + 1))}
+
+            # rows that copy one passage tell no more than one does: a gram is worth no more rows than it has contexts
+            good = pure(in_pos)
+            contexts = {r["gram"]: r["n"] for r in _contexts(texts.where("is_toxic"), frozenset(g.partition("%")[0] for g in good)).collect()}
+            good = pure({g: min(n, contexts[g.partition("%")[0]]) for g, n in good.items()})
+            keep = frozenset(good) | {e.text + "$" for e in entries}
+            beyond_chance = chance_rows((n + in_neg.get(g, 0) for g, n in in_pos.items()), n_pos / (n_pos + n_neg))
 
             def grams_of(batch: pa.RecordBatch) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(_grams(t) & keep) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "grams"])
 
             held = map_batches(texts.where("is_toxic").select("doc_id", "text"), grams_of, "doc_id long, grams array<string>").collect()
-            entries = choose_entries({r["doc_id"]: set(r["grams"]) for r in held}, good, least)
-        if not entries:
-            return Model(tuple(Entry(t, allowed_edits(len(t)), False) for t in DEFAULT_TERMS))
+            entries += choose_entries({r["doc_id"]: set(r["grams"]) for r in held}, good, beyond_chance, entries)
+        if not (n_pos and n_neg):
+            return Model(tuple(entries))
         measured = features(texts.select("doc_id", "text"), Model(tuple(entries))).join(F.broadcast(sample), "doc_id").limit(2 * sample_rows).toPandas()
         measured = measured.sort_values("doc_id", kind="stable")
         weights = fit_weights(np.array(measured["features"].tolist()), measured["is_toxic"].to_numpy(dtype=float))
