@@ -153,3 +153,30 @@ def test_bitmap_marks_all_members_and_few_others(spark):
     found = {r["doc_id"] for r in marked}
     assert set(range(0, 30_000, 3)) <= found and len(found) < 11_500
     assert mark_members(spark.range(5), "id", ids.where("false"), "maybe").where("maybe").count() == 0
+
+
+def test_components_of_shuffled_chains(spark):
+    from veilscan.llm.common import components
+
+    rng = random.Random(8)
+    ids = rng.sample(range(10**6), 3_300)
+    chain, ends, star = ids[:3_000], sorted(ids[3_000:3_200])[::2] + sorted(ids[3_000:3_200])[1::2][::-1], ids[3_200:]
+    pairs = list(zip(chain, chain[1:], strict=False)) + list(zip(ends, ends[1:], strict=False)) + [(star[50], s) for s in star if s != star[50]]
+    links = spark.createDataFrame([p if rng.random() < 0.5 else p[::-1] for p in pairs] + [(chain[0], chain[0])], "a long, b long")
+    assert {r["id"]: r["root"] for r in components(links).collect()} == {i: min(own) for own in (chain, ends, star) for i in own}
+    assert components(links.where("false")).count() == 0
+
+
+def test_serial_revisions_are_one_class(spark):
+    """Each text is near its next predecessors only; the ids are shuffled along the line."""
+    rng = random.Random(9)
+    words, texts = [f"v{i}" for i in range(60)], []
+    for k in range(240):
+        words[k * 7 % 60] = f"r{k}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    rows = dict(enumerate(texts))
+    truth, _ = brute(rows)
+    found, _ = O.near_classes(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
+    assert set(truth.values()) == {0}
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == truth
