@@ -180,3 +180,12 @@ def test_serial_revisions_are_one_class(spark):
     found, _ = O.near_classes(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
     assert set(truth.values()) == {0}
     assert {r["doc_id"]: r["class_id"] for r in found.collect()} == truth
+
+
+def test_texts_that_share_an_id_are_judged_for_themselves(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, d), (3, d), (4, b), (5, None), (5, c), (None, a)]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = O.keep(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (5, None), (None, a)], key=str)

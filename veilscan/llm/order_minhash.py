@@ -295,8 +295,21 @@ def near_classes(docs: DataFrame, texts: DataFrame | None = None) -> tuple[DataF
 def keep(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` (all columns) for each class: that with the least doc_id, one of its repetitions.
 
-    Rows without a doc_id stay.  Rows that are not in question are not moved; the others meet the list of what goes.
+    Rows without a doc_id stay.  Where texts share a doc_id, each is judged for itself, under a number of its own.
     """
+    key = F.coalesce(F.md5(docs["text"].cast("binary")), F.lit("null"))
+    ids = written(docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("id"), key.alias("key")).distinct(), "ids")
+    if ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _keep(docs)
+    # numbers in the order of the ids
+    ids = written(ids.repartitionByRange("id", "key").sortWithinPartitions("id", "key").withColumn("number", F.monotonically_increasing_id()), "ids")
+    numbered = docs.join(ids, (docs["doc_id"].cast("long") == ids["id"]) & (key == ids["key"]), "left")
+    rows = written(numbered.select(*(ids["number"].alias(c) if c == "doc_id" else docs[c] for c in docs.columns), docs["doc_id"].alias("id_of_text")), "numbered")
+    return _keep(rows).select(*(F.col("id_of_text").alias(c) if c == "doc_id" else F.col(c) for c in docs.columns))
+
+
+def _keep(docs: DataFrame) -> DataFrame:
+    """:func:`keep` where a doc_id has one text.  Rows that are not in question are not moved; the others meet the list of what goes."""
     classes = written(near_classes(docs)[0].where("doc_id is not null"), "classes")
     dropped = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
     marked = mark_members(docs, "doc_id", dropped, "in_question")
