@@ -32,7 +32,7 @@ def empty(spark: SparkSession) -> DataFrame:
 
 def clashing(df: DataFrame) -> DataFrame:
     """``df`` with columns named like those that operators make."""
-    names = ("score", "size", "n_words", "row", "kept", "key", "id", "n", "digest", "keys", "cells", "taken", "times", "source_size", "target", "lang_pred", "bin", "finish", "upto", "range", "root", "class_id", "start", "sequence_id", "rule", "host", "path", "payload", "refers_to", "digest_", "block", "v", "s", "r")
+    names = ("score", "size", "n_words", "row", "kept", "key", "id", "n", "digest", "keys", "cells", "taken", "times", "source_size", "target", "lang_pred", "bin", "finish", "upto", "range", "root", "class_id", "start", "sequence_id", "rule", "host", "path", "payload", "refers_to", "digest_", "block", "v", "s", "r", "in_question", "dropped_id", "_row", "number", "source_of_line", "ends_of_line", "lap_of_mix", "spot", "ends", "lap", "words", "hub", "main", "met", "length", "first", "size_", "left", "right", "line", "place")
     return df.select("*", *(F.lit("x").alias(n) for n in names if n not in df.columns))
 
 

@@ -65,11 +65,25 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key)).limit(rows)
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends there, and nothing of the old layout is assumed."""
-    path = scratch(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows that a Python worker is sent at once; texts make these large.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, kind: str, batch_rows: int | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: lineage ends there, and nothing of the old layout is assumed.
+
+    ``batch_rows`` bounds what Python workers are sent at once while the table is made.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, kind)
+    usual = spark.conf.get(BATCH_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(BATCH_ROWS, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, usual)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:
