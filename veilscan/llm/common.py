@@ -114,6 +114,14 @@ def components(links: DataFrame) -> DataFrame:
 _BITMAP_BITS, _LEAST_BITS, _MOST_BITS = 32_768, 20, 30
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, or a longer one that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mark_members(df: DataFrame, key: str, ids: DataFrame, mark: str) -> DataFrame:
     """``df`` with a boolean column: false only for rows whose ``key`` is surely none of ``ids`` (one column, long).
 
@@ -131,10 +139,11 @@ def mark_members(df: DataFrame, key: str, ids: DataFrame, mark: str) -> DataFram
         return F.floor(spot(c) / _BITMAP_BITS)
 
     at = spot(F.col(column)) % _BITMAP_BITS
-    bitmap = ids.groupBy(row(F.col(column)).alias("_row")).agg(F.bitmap_construct_agg(at).alias("_bitmap"))
+    line, bits_of = unused("line", df), unused("bits", df)
+    bitmap = ids.groupBy(row(F.col(column)).alias(line)).agg(F.bitmap_construct_agg(at).alias(bits_of))
     place = spot(df[key]) % _BITMAP_BITS
-    byte = F.conv(F.hex(F.col("_bitmap").substr((F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.col(bits_of).substr((F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (place % 8).cast("int") + 1)
     member = F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))
-    marked = df.join(F.broadcast(bitmap), row(df[key]) == F.col("_row"), "left")
+    marked = df.join(F.broadcast(bitmap), row(df[key]) == F.col(line), "left")
     return marked.select(*(df[c] for c in df.columns), member.alias(mark))

@@ -16,7 +16,8 @@ has met all, leaves the bucket.  A round moves each text once a hub, however lar
 longer settle many members, those left outside their bucket's largest component are held against all members of other
 components of about their length, block by block, so that no task holds more than two blocks: a bound from hashed
 word counts (two texts have at least as many words that are not aligned as their counts differ by) leaves those few
-that can pass, and these are aligned too.
+that can pass, and these are aligned too: of one bucket the nearest by that bound first, as one link settles a member,
+then more, and in the end, for members still outside, all.
 
 Defined results: a null text is alone in its class; a row without a doc_id has the class of its equals, if any;
 texts without a word are copies of each other; texts of fewer than five words have one k-mer, the whole text;
@@ -48,7 +49,9 @@ RUN = 512
 PROGRESS = 0.7
 #: Words are counted in so many cells for the bound; blocks of members outside and of all members that meet at once.
 CELLS = 256
-OUTSIDE_BLOCK, MEMBER_BLOCK = 256, 1024
+OUTSIDE_BLOCK, MEMBER_BLOCK = 128, 512
+#: Partners in each block that a member still outside is aligned with, round by round; the last has no limit.
+NEAREST_FIRST = (1, 8, None)
 #: Lengths within one class differ by less than this factor, which is above 1 / SIMILARITY.
 LENGTH_CLASS = 1.26
 #: Rows of texts that a worker is sent at once, and words that it sketches at once.
@@ -354,16 +357,22 @@ def elected(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(best, F.max("main").alias("hub_root")).select("key", (-F.col("best.minus_id")).alias("hub"), F.col("best.n").alias("hub_n"), "hub_root")
 
 
-def outside_pairs(members: DataFrame, counted: DataFrame) -> DataFrame:
+def outside_pairs(members: DataFrame, counted: DataFrame, nearest: int | None = None) -> DataFrame:
     """Pairs (hub, id) over components that the counts' bound leaves, from open buckets (see :func:`still_open`).
 
     A bucket's members outside its main component meet all its members of about their length in blocks; each task
-    holds two.
+    holds two.  With ``nearest`` each does so in the one bucket where most others are, and of each block only so
+    many partners are taken, those that the bound puts nearest.
     """
     rows = members.join(counted, "id").withColumn("length", F.floor(F.log("n") / F.log(F.lit(LENGTH_CLASS))).cast("int"))
     rows = written(rows.select("key", "id", "root", "main", "n", "cells", "length"), "outside")
     near = F.explode(F.array(*(F.col("length") + d for d in (-1, 0, 1))))  # lengths that can pass are at most one class apart
-    outside = rows.where("root <> main").withColumn("length", near)
+    outside = rows.where("root <> main")
+    if nearest:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
+        best = outside.select("key", "id").join(sizes, "key").groupBy("id").agg(F.max(F.struct("size", "key")).alias("best"))
+        outside = outside.join(best.select("id", F.col("best.key").alias("key")), ["id", "key"]).select(rows.columns)
+    outside = written(outside.withColumn("length", near), "outside")
     n_out = outside.groupBy("key", "length").agg(F.ceil(F.count("*") / OUTSIDE_BLOCK).cast("int").alias("n_out"))
     n_all = rows.groupBy("key", "length").agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("n_all"))
     blocks = written(n_out.join(n_all, ["key", "length"]), "blocks")
@@ -383,7 +392,11 @@ def outside_pairs(members: DataFrame, counted: DataFrame) -> DataFrame:
             for i, root, m, c in zip(x["id"], x["root"], x["n"], x["cells"], strict=True):
                 near = np.flatnonzero((roots != root) & (in_main | (ids > i)) & (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)))
                 apart_by = np.abs(counts[near] - np.frombuffer(c, dtype=np.uint8).astype(np.int16)).sum(axis=1, dtype=np.int64)
-                found += ((i, j) for j in ids[near[apart_by <= (1 - SIMILARITY) / (1 + SIMILARITY) * (n[near] + m) + 1e-9]].tolist())
+                share = apart_by / (n[near] + m)
+                able = np.flatnonzero(share <= (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-12)
+                if nearest and len(able) > nearest:
+                    able = able[np.lexsort((ids[near[able]], share[able]))[:nearest]]
+                found += ((i, j) for j in ids[near[able]].tolist())
         return pd.DataFrame(found, columns=["hub", "id"], dtype="int64")
 
     keys = ["key", "length", "o", "m"]
@@ -421,10 +434,18 @@ def near_classes(docs: DataFrame, texts: DataFrame | None = None) -> tuple[DataF
         links = _with(links, linked(written(pairs, "pairs"), wanted).where("similar"))
         roots = written(components(links), "components")
         held = met_hub.where("id <> hub").select("key", "id", "n", "met")
-    if now:
-        pairs = written(outside_pairs(members, distinct.select("id", "cells")), "pairs")
-        links = _with(links, linked(pairs, wanted).where("similar"))
-        roots = written(components(links), "components")
+    tested = None
+    for nearest in NEAREST_FIRST if now else ():
+        pairs = outside_pairs(members, distinct.select("id", "cells"), nearest)
+        new = linked(written(pairs if tested is None else pairs.join(tested, ["hub", "id"], "left_anti"), "pairs"), wanted)
+        tested = new.select("hub", "id") if tested is None else tested.unionAll(new.select("hub", "id"))
+        more = new.where("similar")
+        if not more.isEmpty():
+            links = _with(links, more)
+            roots = written(components(links), "components")
+            members = still_open(held, roots)
+            if members.isEmpty():
+                break
 
     named = distinct.select("digest", "id")
     named = named.withColumn("class_id", F.col("id")) if roots is None else named.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
