@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -47,7 +48,8 @@ def test_mix_takes_the_budget_near_every_target(spark):
     targets = shares(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes), 2.0)
     for n, s, t in zip(names, sizes, targets, strict=True):
         assert {(r["source_size"], round(r["target"], 6)) for r in by_source[n]} == {(s, round(t, 6))}
-        assert abs(sum(r["taken"] for r in by_source[n]) - t) <= 1
+        assert abs(sum(r["taken"] for r in by_source[n]) - t) <= t / mixing.PACKETS + 2
+    assert sum(r["taken"] for r in rows) == int(sum(targets) + 1e-6)
 
 
 def test_reruns_agree_whatever_the_partitions(spark):
@@ -56,21 +58,57 @@ def test_reruns_agree_whatever_the_partitions(spark):
     assert first == sorted(mixing.mix(docs.repartition(7)).collect())
 
 
-def test_running_sums_equal_brute_force(spark):
-    """Fair queueing by hand: documents in hash order, finish times, one global order, cut at the budget."""
-    docs = documents(spark)
+def brute_line(docs, weights=(5, 2, 1), budget=None):
+    """Fair queueing by hand: documents in hash order, in packets, finish times, one global order, cut at the budget.
+
+    Words taken by (doc_id, lap).
+    """
     queue, sizes = defaultdict(list), defaultdict(int)
-    hashed = docs.select("doc_id", "source", F.regexp_count("text", F.lit(mixing.WORD_PATTERN)).alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(4), "doc_id"), 11).alias("spot")).collect()
-    for r in sorted(hashed, key=lambda r: (r["spot"], r["doc_id"])):
-        queue[r["source"]] += [r["doc_id"]] * (r["size"] or 0)
-    names = sorted(queue)
-    target = dict(zip(names, shares([len(queue[n]) for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(map(len, queue.values())), 2.0), strict=True))
-    line = sorted(((lap * len(queue[s]) + k) / target[s], doc) for s in names for lap in (0, 1) for k, doc in enumerate(queue[s], 1))
-    taken = Counter(doc for finish, doc in line if finish <= 1 + 1e-9)
-    rows = mixing.mix(docs).collect()
-    assert {r["doc_id"]: r["taken"] for r in rows if r["taken"]} == taken
-    finish = [r["finish"] for r in rows]
-    assert finish == sorted(finish)
+    hashed = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), mixing.spot(F.col("doc_id"), F.col("text"), 4).alias("spot")).collect()
+    for r in sorted(hashed, key=lambda r: (r["spot"], r["doc_id"] or 0, r["size"])):
+        queue[r["source"]].append((r["doc_id"], r["size"]))
+        sizes[r["source"]] += r["size"]
+    names = sorted(queue, key=mixing.by_code_point)
+    target = dict(zip(names, shares([sizes[n] for n in names], [weights[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()), 2.0), strict=True))
+    line = []
+    for s in names:
+        packet, ahead = max(1, math.ceil(target[s] / mixing.PACKETS)), 0
+        for lap in (0, 1):
+            for doc, size in queue[s]:
+                for offset in range(0, size, packet):
+                    words = min(packet, size - offset)
+                    line.append(((ahead + offset + words) / target[s], (s is not None, s or ""), lap, ahead, offset, doc, words))
+                ahead += size
+    left, taken = int((budget if budget else sum(target.values())) + 1e-6), Counter()
+    for *_, lap, _, _, doc, words in ((x[0], x[1], x[2], x[3], x[4], x[5], x[6]) for x in sorted(line, key=lambda x: x[:5])):
+        taken[doc, lap] += min(words, left)
+        left -= min(words, left)
+    return {k: n for k, n in taken.items() if n}
+
+
+@pytest.mark.parametrize(("packets", "budget"), [(10_000, None), (20, None), (50, 7_000)])
+def test_line_equals_brute_force(spark, monkeypatch, packets, budget):
+    monkeypatch.setattr(mixing, "PACKETS", packets)
+    docs = documents(spark)
+    truth = brute_line(docs, budget=budget)
+    rows = mixing.mix(docs, budget=budget).collect()
+    by_doc = Counter()
+    for (doc, _), n in truth.items():
+        by_doc[doc] += n
+    assert {r["doc_id"]: r["taken"] for r in rows if r["taken"]} == by_doc
+    assert {r["doc_id"]: r["times"] for r in rows if r["times"]} == Counter(doc for doc, _ in truth)
+    kept = Counter((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r in mixing.keep(docs, budget=budget).collect())
+    assert kept == Counter((doc, n) for (doc, _), n in truth.items())
+
+
+def test_kept_rows_are_cut_after_a_word_and_equal_rows_are_taken_one_by_one(spark):
+    text = "  one two\tthree \n four"
+    rows = [(1, text, "en", "a", len(text))] * 3 + [(None, text, "en", "a", len(text)), (2, "x " * 40, "en", "b", 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r for r in mixing.keep(docs, budget=17).collect() if r["source"] == "a"]
+    taken = sum(len(r["text"].split()) for r in kept)
+    assert taken == sum(r["taken"] for r in mixing.mix(docs, budget=17).collect() if r["source_size"] == 16)
+    assert all(text.startswith(r["text"]) and r["n_chars"] == len(r["text"]) and not r["text"].endswith((" ", "\n", "\t")) for r in kept) and 4 < taken < 16
 
 
 def test_smaller_budget(spark):

@@ -1,20 +1,21 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source's documents are shuffled by a hash and queue up, once for each repeat that its target may need; a
-document's virtual finish time is its source's words up to and with it, divided by the source's target, and the
-same holds for each of its words.  All sources together are then range-sorted by finish time and the line is
-truncated at the total budget: at virtual time 1, or earlier for a smaller budget.  A document that is being
-served when the budget ends is taken up to the word that is reached, so every source gets its target but for a
-part of a word.
+document's virtual finish time is its source's words up to and with it, divided by the source's target.  A document
+longer than a packet, which is a ten-thousandth of its source's target, queues in packets, as fair queueing has it, so
+that no document holds up the others.  All sources together are range-sorted by finish time, words are summed along that
+line, and the line is truncated at the total budget, within a packet if need be: every source gets its target
+but for about a packet.
 
-Running sums are made of two parts, the sums of whole hash ranges (an aggregate) and a window inside one range, so
-no task ever holds a source: a range has about half an even partition's share of all rows.
+Running sums have two parts, the sums of whole ranges (an aggregate) and a window inside one range, so no task
+ever holds a source or the line: a range has about an even share of all rows.
 
-Targets: see :func:`allocate`.  Sources are expected to be few enough for one row each on the driver.
+Targets: see :func:`allocate`.  Sources are expected to be few enough for one row each on the driver, about 100
+bytes (a million sources would be 100 MB).
 
 Defined results: a null text has size 0 and takes 0; size-0 documents take nothing; null sources form one
 source, last in order; repeated rows queue one after the other; empty tables give empty results; other columns
-than ``doc_id``, ``text`` and ``source`` are ignored by :func:`mix`.
+than ``doc_id``, ``text`` and ``source`` are ignored by :func:`mix` and carried along by :func:`keep`.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from veilscan.llm.common import WORD_PATTERN, written
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 REPEATS = 2.0
+#: Packets that a source's target is served in, at least.
+PACKETS = 10_000
 
 
 def allocate(sizes: list[float], weights: list[float], total: float, repeats: float) -> list[float]:
@@ -54,36 +57,36 @@ def by_code_point(source: str | None) -> tuple[bool, list[int]]:
     return source is None, [ord(c) for c in source or ""]
 
 
-def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
-    """One row per source: source, source_size, target, and how many hash ranges its rows fall into."""
-    spark = sized.sparkSession
+def by_code_point(source: str | None) -> tuple[bool, list[int]]:
+    return source is None, [ord(c) for c in source or ""]
+
+
+def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> list[dict]:
+    """For each source, in order: source, source_size, target, packet (words), and how many hash ranges its rows fall into."""
     rows = sorted(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: by_code_point(r["source"]))
     sizes = [int(r["size"] or 0) for r in rows]
     targets = allocate(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), repeats)
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 2 * int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = max(1, sum(r["n"] for r in rows))
-    data = [(r["source"], s, t, max(1, -(-ranges * r["n"] // every))) for r, s, t in zip(rows, sizes, targets, strict=True)]
-    return spark.createDataFrame(data, "source string, source_size long, target double, ranges long")
+    return [
+        {"source": r["source"], "source_size": s, "target": t, "packet": max(1, math.ceil(t / PACKETS)), "ranges": max(1, -(-ranges * r["n"] // every))} for r, s, t in zip(rows, sizes, targets, strict=True)
+    ]
 
 
-def last_time(targets: DataFrame, budget: float | None) -> float:
-    """The virtual time at which the budget ends: all queues are served until then, each by its target."""
-    total = sum(r["target"] for r in targets.select("target").collect())
-    return 1.0 if budget is None or budget >= total else budget / total
+def spot(doc_id: F.Column, text: F.Column, seed: int) -> F.Column:
+    """A document's place in its source's shuffled line: a hash of its id and text as a number in [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id.cast("long"), text), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def spot(doc_id: F.Column, seed: int) -> F.Column:
-    """A document's place in its source's shuffled line: a hash of its id as a number in [0, 1)."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id.cast("long")), 11).cast("double") / F.lit(float(1 << 53))
+def n_words(text: F.Column) -> F.Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def queued(docs: DataFrame, weights: tuple[float, ...], share: float, repeats: float, seed: int, budget: float | None) -> DataFrame:
-    """doc_id, source, size, source_size, target, spot, first (words of its source before it), words (taken in each lap)."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")), "sized")
-    targets = source_targets(sized, weights, share, repeats)
-    sources = F.broadcast(targets.withColumnRenamed("source", "s"))  # one row for each source
-    rows = sized.withColumn("spot", spot(F.col("doc_id"), seed)).join(sources, sized.source.eqNullSafe(F.col("s"))).drop("s")
+def queued(docs: DataFrame, targets: list[dict]) -> DataFrame:
+    """doc_id, source, size, spot, source_size, target, packet, first: the words of its source before it, from ``docs``
+    (doc_id, source, size, spot)."""
+    own = docs.sparkSession.createDataFrame([tuple(t.values()) for t in targets], "s string, source_size long, target double, packet long, ranges long")
+    rows = docs.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("s"))).drop("s")  # one row for each source
     rows = rows.withColumn("range", F.floor(F.col("spot") * F.col("ranges")))
     of_range = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = of_range.withColumn("before", F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
@@ -91,43 +94,91 @@ def queued(docs: DataFrame, weights: tuple[float, ...], share: float, repeats: f
     inside = Window.partitionBy("source", "range").orderBy("spot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = rows.withColumn("inside", F.sum("size").over(inside))
     joined = running.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    # a repeat queues behind the whole of its source, so each lap begins where the one before ended
-    first = F.col("before") + F.col("inside") - F.col("size")
-    end = F.floor(F.col("target") * F.lit(last_time(targets, budget)) + 1e-6)
-    words = (F.greatest(F.lit(0), F.least(F.col("size"), end - lap * F.col("source_size") - first)) for lap in range(math.ceil(repeats)))
-    return joined.select("doc_id", "source", "size", "source_size", "target", "spot", first.alias("first"), F.array(*words).alias("words"))
+    return joined.select("doc_id", "source", "size", "spot", "source_size", "target", "packet", (F.col("before") + F.col("inside") - F.col("size")).alias("first"))
+
+
+def served(queue: DataFrame, targets: list[dict], repeats: float, budget: float | None) -> DataFrame:
+    """What the line serves before the budget ends: doc_id, source, size, spot, first, lap, took (words), finish."""
+    total = sum(t["target"] for t in targets)
+    budget = total if budget is None else min(budget, total)
+    # all queues are served at once, so the budget ends near this time; packets that begin well after it are not made
+    late = (budget / total if total else 0.0) + 2 * max([0.0, *(t["packet"] / t["target"] for t in targets if t["target"])])
+    laps = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(repeats) - 1)))
+    lined = queue.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("lap", laps).withColumn("ahead", F.col("lap") * F.col("source_size") + F.col("first"))
+    lined = lined.where(F.col("ahead") <= late * F.col("target")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.col("packet")))))
+    lined = lined.withColumn("offset", F.col("part") * F.col("packet")).where(F.col("ahead") + F.col("offset") <= late * F.col("target"))
+    words = F.least(F.col("packet"), F.col("size") - F.col("offset"))
+    order = ("finish", "source", "lap", "first", "offset")
+    lined = lined.select("doc_id", "source", "size", "spot", "first", "lap", "offset", words.alias("words"), ((F.col("ahead") + F.col("offset") + words) / F.col("target")).alias("finish"))
+    lined = written(lined.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "line")
+
+    sums, ahead = [], 0
+    for r in sorted(lined.groupBy("range").agg(F.sum("words").alias("words")).collect(), key=lambda r: r["range"]):
+        sums.append((r["range"], ahead))
+        ahead += r["words"]
+    before = queue.sparkSession.createDataFrame(sums, "range int, before long")  # one row for each partition of the line
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = lined.withColumn("inside", F.sum("words").over(inside)).join(F.broadcast(before), "range")
+    rest = F.lit(math.floor(budget + 1e-6)).cast("long") - (F.col("before") + F.col("inside") - F.col("words"))
+    return running.withColumn("took", F.least(F.col("words"), rest)).where("took > 0").select("doc_id", "source", "size", "spot", "first", "lap", "took", "finish")
+
+
+def _line(docs: DataFrame, weights: tuple[float, ...], share: float, repeats: float, seed: int, budget: float | None) -> tuple[DataFrame, DataFrame]:
+    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), spot(F.col("doc_id"), F.col("text"), seed).alias("spot")), "sized")
+    targets = source_targets(sized, weights, share, repeats)
+    queue = written(queued(sized, targets), "queue")
+    return queue, served(queue, targets, repeats, budget)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, seed: int = 4, budget: float | None = None) -> DataFrame:
-    """For each document, in the order of the mix: doc_id, size, source_size, target, taken (words), times (how often
-    it is taken in whole or in part), finish (its first virtual finish time).
+    """For each document: doc_id, size, source_size, target, taken (words), times (how often it is taken in whole or
+    in part), finish (the virtual time at which the mix first has all that it takes of it in one lap; null where it takes nothing).
 
     The total budget is the sum of the targets unless a smaller one is given.
     """
-    queue = queued(docs, weights, share, repeats, seed, budget)
-    out = queue.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w).alias("taken"),
-        F.size(F.filter("words", lambda w: w > 0)).alias("times"),
-        F.try_divide((F.col("first") + F.col("size")).cast("double"), F.col("target")).alias("finish"),
-    )
-    return out.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
+    queue, line = _line(docs, weights, share, repeats, seed, budget)
+    # a document is known by its place in its source's line; what is empty has none and takes nothing
+    laps = line.groupBy("source", "first", "lap").agg(F.sum("took").alias("took"), F.max("finish").alias("finish"))
+    takes = laps.groupBy(F.col("source").alias("s"), F.col("first").alias("f")).agg(F.sum("took").alias("took"), F.count("*").alias("n"), F.min("finish").alias("finish"))
+    some = queue.where("size > 0").join(takes, F.col("source").eqNullSafe(F.col("s")) & (F.col("first") == F.col("f")), "left")
+    zero = F.lit(0).cast("long")
+    out = some.select("doc_id", "size", "source_size", "target", F.coalesce("took", zero).alias("taken"), F.coalesce("n", zero).cast("int").alias("times"), "finish")
+    return out.unionAll(queue.where("size = 0").select("doc_id", "size", "source_size", "target", zero.alias("taken"), F.lit(0).alias("times"), F.lit(None).cast("double").alias("finish")))
+
+
+def beginning(text: F.Column, words: F.Column) -> F.Column:
+    """The text up to the end of a word, counted from 1."""
+    pairs = F.arrays_zip(F.split(text, WORD_PATTERN, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)).alias("word"))
+    return F.array_join(F.transform(F.slice(pairs, F.lit(1), words), lambda p: F.concat(p["gap"], p["word"])), "")
 
 
 def keep(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, seed: int = 4, budget: float | None = None) -> DataFrame:
-    """The rows of ``docs`` (all columns) that the mix takes, whole, each as often as it takes it.
+    """The rows of ``docs`` (all columns) that the mix takes, each as often as it takes it.
 
-    A source's line is taken up to one document in each lap, so where that one stands decides for all others: the
-    texts themselves are not moved.
+    A source's documents are taken in line, so in each lap one of them, or one group of equal ones, is the last; only
+    those are moved.  A document that is taken in part is cut after the last word that is taken, and its ``n_chars``,
+    if there is such a number, with it.  A row travels as one struct, so its columns' names clash with nothing.
     """
-    laps = range(math.ceil(repeats))
-    ends = queued(docs, weights, share, repeats, seed, budget).groupBy("source").agg(*(F.max(F.when(F.col("words")[k] > 0, F.col("spot"))).alias(f"end{k}") for k in laps))
-    ends = written(ends, "ends")
-    cuts = F.broadcast(ends.select(F.col("source").alias("source_of_line"), F.array(*(f"end{k}" for k in laps)).alias("ends_of_line")))  # one row for each source
-    rows = docs.where(docs["text"].rlike(WORD_PATTERN)).join(cuts, docs["source"].cast("string").eqNullSafe(F.col("source_of_line")))
-    place = spot(docs["doc_id"], seed)
-    taken = rows.withColumn("lap_of_mix", F.explode(F.filter("ends_of_line", lambda e: place <= e)))
-    return taken.select(*(docs[c] for c in docs.columns))
+    queue, line = _line(docs, weights, share, repeats, seed, budget)
+    of_spot = line.groupBy("source", "lap", "spot").agg(F.sum("took").alias("took"))
+    last = of_spot.groupBy("source", "lap").agg(F.max(F.struct("spot", "took")).alias("last")).select(F.col("source").alias("s"), F.struct("lap", "last.spot", "last.took").alias("lap"))
+    lasts = written(last.groupBy("s").agg(F.array_sort(F.collect_list("lap")).alias("laps")), "ends")
+    place = spot(docs["doc_id"], docs["text"], seed)
+    rows = docs.where(docs["text"].rlike(WORD_PATTERN)).select(docs["source"].cast("string").alias("source"), place.alias("spot"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    rows = rows.join(F.broadcast(lasts), F.col("source").eqNullSafe(F.col("s"))).withColumn("lap", F.explode(F.filter("laps", lambda e: F.col("spot") <= e["spot"])))  # one row for each source
+    whole, ends = rows.where("spot < lap.spot"), rows.where("spot = lap.spot")
+    size = n_words(F.col("row.text"))
+    inside = Window.partitionBy("source", "lap.lap", "spot").orderBy("row.doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("size", size).withColumn("took", F.least(F.col("size"), F.col("lap.took") - F.sum("size").over(inside) + F.col("size"))).where("took > 0")
+    text = F.when(F.col("took") < F.col("size"), beginning(F.col("row.text"), F.col("took").cast("int"))).otherwise(F.col("row.text"))
+    numbers = {f.name for f in docs.schema.fields if f.dataType.typeName() in ("long", "integer")}
+
+    def column(name: str) -> F.Column:
+        own = F.col("row")[name]
+        if name == "text":
+            return text.alias(name)
+        if name == "n_chars" and name in numbers:
+            return F.when(F.col("took") < F.col("size"), F.length(text)).otherwise(own).cast(docs.schema[name].dataType).alias(name)
+        return own.alias(name)
+
+    return whole.select("row.*").unionAll(ends.select(*map(column, docs.columns)))
