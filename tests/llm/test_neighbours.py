@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,15 +36,44 @@ def test_query_recall_and_scores(spark):
     assert hits >= 0.95 * 20 * len(got)
 
 
-def test_clustered_vectors_stop_early():
+def measured(spark, vectors, every):
+    """Recall against brute force and the share of all vectors that a query verifies."""
+    ids = np.arange(len(vectors))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": list(vectors)}), SCHEMA)
+    verified = spark.sparkContext.accumulator(0)
+    found = N.search(df, F.col("id") % every == 0, verified=verified).toPandas()
+    queries = ids[::every]
+    wide = vectors.astype(np.float32).astype(float)
+    scores = wide[queries] @ wide.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    own = found.groupby("query_id")["vec_id"].apply(set)
+    assert len(own) == len(queries) and (found.groupby("query_id").size() == 20).all()
+    return np.mean([len(own[q] & set(b.tolist())) / 20 for q, b in zip(queries, best, strict=True)]), verified.value / (len(queries) * len(vectors))
+
+
+def test_clustered_vectors_need_few_cells(spark):
     rng = np.random.default_rng(3)
-    centres = rng.standard_normal((40, 32)) * 4
-    vectors = (centres[rng.integers(0, 40, 8000)] + 0.3 * rng.standard_normal((8000, 32))).astype(np.float32).astype(float)
-    ids = np.arange(8000)
-    longest = float(np.sqrt((vectors**2).sum(1).max()))
-    q, i, s, verified = N.search_block(ids, vectors, ids[::200], vectors[::200], longest)
-    hits = sum(len(set(i[q == k].tolist()) & {j for _, j in brute(ids.tolist(), vectors, k)}) for k in ids[::200].tolist())
-    assert hits >= 0.9 * 20 * 40 and verified < 0.8 * 8000 * 40
+    centres = rng.standard_normal((200, 32)) * 2
+    vectors = centres[rng.integers(0, 200, 40_000)] + 0.3 * rng.standard_normal((40_000, 32))
+    recall, share = measured(spark, vectors.astype(np.float32) / np.linalg.norm(vectors, axis=1, keepdims=True), 400)
+    assert recall >= 0.95 and share <= 0.15
+
+
+def test_vectors_without_structure_stop_by_the_chi_square_test(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((20_000, 48)).astype(np.float32)
+    recall, share = measured(spark, vectors / np.linalg.norm(vectors, axis=1, keepdims=True), 400)
+    assert recall >= 0.93 and share <= 0.8
+
+
+def test_cells_hold_each_point_once():
+    rng = np.random.default_rng(6)
+    points = np.vstack([rng.standard_normal((3_000, 4)), np.ones((500, 4))])
+    splits = N.Splits(points, 4)
+    cell = splits.cell(points)
+    assert cell.min() >= 0 and cell.max() < 16 and np.bincount(cell, minlength=16).max() < 1_000 and len(set(cell[3_000:].tolist())) == 1
+    assert N.Splits(np.empty((0, 4)), 2).cell(points).max() < 4 and (N.Splits(points, 0).cell(points) == 0).all()
 
 
 def test_chi_square_quantile():
@@ -51,9 +81,9 @@ def test_chi_square_quantile():
 
 
 def test_ties_copies_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "CANDIDATE_BLOCK", 40)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small blocks all meet in one task
-    monkeypatch.setattr(N, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(N, "CELL", 40)
+    monkeypatch.setattr(N, "BLOCK", 30)
+    monkeypatch.setattr(N, "FIRST", 1)
     rng = np.random.default_rng(4)
     rows = [(i, [1.0, 2.0, 0.5] if i % 3 == 0 else rng.standard_normal(3).astype(np.float32).tolist()) for i in range(300)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -64,7 +94,6 @@ def test_ties_copies_and_blocks(spark, monkeypatch):
     assert set(got) == set(range(0, 300, 20)) and all(len(found) == 20 for found in got.values())
     for q in range(0, 300, 60):  # the frequent vector itself: every nearest one is a tie or better
         assert [i for _, i in got[q]] == [i for _, i in brute(list(range(300)), vectors, q)]
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_odd_rows(spark):
