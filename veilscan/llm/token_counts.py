@@ -36,6 +36,9 @@ _ANY = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 _PLAIN = re.compile(rf"""'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+""")
 
 
+_CHUNK = regex.compile(r"(\s*)(\S*)(?<=.)", regex.DOTALL)
+
+
 class PrefixCounter:
     """Exact token counts of texts and of their prefixes for one vocabulary file."""
 
@@ -153,33 +156,60 @@ class PrefixCounter:
         return sum(1 if special else sum(self.word_counts(self.split(part))) for part, special in self._stretches(text or ""))
 
     def prefix_counts(self, text: str | None) -> list[int]:
-        """The exact count of text[:i], for each i from 0 to len(text).
-
-        Inside a word the word's table answers.  A prefix that ends in white space, in a contraction or in a
-        special string is cut into words differently from the whole text, so those few words are cut anew.
-        """
+        """The exact count of text[:i], for each i from 0 to len(text), by the words' tables."""
         out = [0]
         for part, special in self._stretches(text or ""):
-            base, at = out[-1], 0
-            if special:
-                out += [base + self.count(part[:i]) for i in range(1, len(part))] + [base + 1]
+            base = out[-1]
+            if not special:
+                tail_base, tail = base, ""
+                for space, solid in self._chunks(part):
+                    tail_base, tail = out[-1], space + solid
+                    out += self._table(out[-1], space, solid)
                 continue
-            words = self.split(part)
-            sums = [0, *accumulate(self.word_counts(words))]
-            for k, word in enumerate(words):
-                first = k
-                while first and words[first - 1].isspace():  # white space before is cut by what follows
-                    first -= 1
-                before = "".join(words[first:k])
-                if before or not word.isalpha() and not (word[0] == " " and word[1:].isalpha()):
-                    lone = len(word) > 1 and not before and not word.isspace() and "'" not in word
-                    if lone:
-                        out += self._inside(base + sums[k], word)
-                    else:
-                        out += [base + sums[first] + sum(self.word_counts(self.split(before + word[:i]))) for i in range(1, len(word) + 1)]
-                else:
-                    out += self._inside(base + sums[k], word)
-                at += len(word)
+            if len(out) == 1 or not tail:
+                tail_base, tail = base, ""
+            # a special string that is cut short is plain text, cut into words together with what it follows
+            short, at = [tail_base], tail + part[:-1]
+            for space, solid in self._chunks(at):
+                short += self._table(short[-1], space, solid)
+            out += short[len(tail) + 1 :]
+            out.append(base + 1)
+            tail = ""
+        return out
+
+    def _chunks(self, part: str) -> Iterator[tuple[str, str]]:
+        """White space and what follows it up to the next, one after the other: no word reaches from one chunk into another."""
+        for m in _CHUNK.finditer(part):
+            yield m.group(1), m.group(2)
+
+    def _pieces(self, space: str, solid: str) -> tuple[list[str], list[str]]:
+        """The words of a chunk: of its white space, and the rest, to whose first word a last blank belongs."""
+        if not solid:
+            return [space] if space else [], []
+        lead = space[-1:] if space.endswith(" ") else ""
+        alone = [space[:-1]] if lead else [space[:-1], space[-1:]]
+        return [w for w in alone if w], self.split(lead + solid)
+
+    def _total(self, space: str, solid: str) -> int:
+        before, words = self._pieces(space, solid)
+        return sum(self.word_counts(before + words))
+
+    def _table(self, base: int, space: str, solid: str) -> list[int]:
+        """The counts at each prefix of a chunk that ``base`` tokens come before."""
+        # white space that nothing follows yet is one word
+        out = self._inside(base, space) if space else []
+        before, words = self._pieces(space, solid)
+        base += sum(self.word_counts(before)) if solid else 0
+        for k, word in enumerate(words):
+            if word[0] == "'" and word[1:].isalpha():  # a contraction is none until its last letter is there
+                quote = self.word_counts(["'"])[0]
+                out.append(base + quote)
+                out += [base + quote + n for n in self.word_counts([word[1:2]] if len(word) == 3 else [])]
+                out.append(base + self.word_counts([word])[0])
+            else:
+                own = self._inside(base, word)
+                out += own[1:] if not k and space.endswith(" ") else own
+            base = out[-1]
         return out
 
     def _inside(self, base: int, word: str) -> list[int]:
@@ -190,32 +220,30 @@ class PrefixCounter:
         return out
 
     def truncation(self, text: str | None, limit: int) -> int:
-        """The length of the longest prefix with at most ``limit`` tokens, by the running sums and one word's table."""
-        if not text:
-            return 0
+        """The length of the longest prefix with at most ``limit`` tokens.
+
+        Whole chunks are summed up; each has a token at least, so the cut falls into the last one that begins below the
+        limit, or a special string behind it, and this one's table tells where.
+        """
         base = at = 0
-        for part, special in self._stretches(text):
-            words = [part] if special else self.split(part)
-            sums = [1] if special else list(accumulate(self.word_counts(words)))
-            if base + sums[-1] <= limit:
-                base, at = base + sums[-1], at + len(part)
+        last = (0, 0, "")  # the chunk that the longest prefix may end in: tokens and characters before it, its text
+        for part, special in self._stretches(text or ""):
+            if base >= limit:
+                break
+            if special:
+                last = (*last[:2], last[2] + part)
+                base, at = base + 1, at + len(part)
                 continue
-            for word, upto in zip(words, sums, strict=True):
-                if base + upto > limit:
+            for space, solid in self._chunks(part):
+                if base >= limit:
                     break
-                at += len(word)
-            # the cut may fall anywhere near: take the longest exact prefix around that word
-            near = at + (len(part) if special else len(word))
-            start = max(0, at - 64)
-            while start and not text[start - 1].isalpha():
-                start -= 1
-            while start and text[start - 1].isalpha():
-                start -= 1
-            for end in range(min(len(text), near), start, -1):
-                if self.count(text[:end]) <= limit if start == 0 else self.count(text[:start]) + self.count(text[start:end]) <= limit:
-                    return end
-            return start
-        return len(text)
+                last = (base, at, space + solid)
+                base, at = base + self._total(space, solid), at + len(space) + len(solid)
+        else:
+            if base <= limit:
+                return at
+        counts = self.prefix_counts(last[2])
+        return last[1] + max((i for i, n in enumerate(counts) if last[0] + n <= limit), default=0)
 
 
 @lru_cache(maxsize=1)
