@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 from collections import defaultdict
 
@@ -90,7 +91,7 @@ def test_order_counts():
 def test_sketches_of_many_texts_are_those_of_each():
     """Least hashes in text order, by a loop over each text; k-mers are as unique as the labelled tuples."""
     rng = random.Random(4)
-    texts = [[f"w{rng.randrange(37)}" for _ in range(n)] for n in (1, 2, 4, 5, 6, 7, 300, 3, 40)]
+    texts = [[f"w{rng.randrange(37)}" for _ in range(n)] for n in (1, 2, 4, 5, 6, 7, 300, 3, 40, 2_000)]
     hasher = O.Hasher()
     hashes = np.concatenate([hasher.words(t) for t in texts])
     lengths = np.array([len(t) for t in texts])
@@ -215,6 +216,15 @@ def test_odd_rows(spark):
     assert O.near_classes(empty(spark))[0].count() == 0 and O.keep(empty(spark)).count() == 0
 
 
+def test_scratch_tables_can_be_dropped(spark, tmp_path):
+    from veilscan.llm import common
+
+    path = common.scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert common.drop_scratch(spark) > 0 and common.drop_scratch(spark) == 0
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def test_bitmap_marks_all_members_and_few_others(spark):
     from veilscan.llm.common import mark_members
 

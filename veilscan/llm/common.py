@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset
+    and all run on one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors have no folder to share")
         configured = f"file://{tempfile.mkdtemp(prefix='veilscan-')}"
         spark.sparkContext.setCheckpointDir(configured)
     elif not spark.sparkContext.getCheckpointDir():
@@ -33,9 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A fresh folder name inside the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the scratch tables of this program, whose results must have been written by then; how many there were."""
+    n = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,13 +65,23 @@ def crc_bucket(column: str, modulus: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+#: Rows of texts that a worker turns into Python objects at once.
+SLICE = 256
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of a few rows, so that a worker holds the objects of one part only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch of ``df``, one batch in memory at a time."""
+    """Apply ``fn`` to the rows of ``df``, a few at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        for batch in slices(batches):
+            yield fn(batch)
 
     return df.mapInArrow(run, schema)
 
@@ -89,25 +115,30 @@ def written(df: DataFrame, kind: str, batch_rows: int | None = None) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a long, b long): one row (id, root) per linked id, root being the least id.
 
-    Each round a node takes the least of its root's root and its neighbours' roots' roots, and so does the root it
-    had, whose whole tree thereby moves at once (FastSV, Zhang, Azad and Buluc 2020); it ends with the round that changes
-    nothing.  Rounds grow with the logarithm of a component's diameter: a chain of 100,000 nodes takes 17 or 18.  All
-    are partial aggregates and equi-joins, so a node with very many links is combined before the shuffle or split by
-    adaptive execution.
+    By contraction: in each round every node goes over to the one of itself and its neighbours that has the least hash,
+    another hash each time, and links are drawn anew between what nodes went over to, until none is left.  A star takes
+    two rounds, a chain as many as the logarithm of its length, as a good part of its nodes goes each time.
+    Then the rounds are followed back.  All are partial aggregates and equi-joins, so a node with very many
+    links is combined before the shuffle or split by adaptive execution.
     """
-    edges = links.select("a", "b").where("a <> b").distinct()
-    edges = written(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    roots = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")), "roots")
-    while True:
-        up = roots.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        lifted = written(roots.join(up, "root").select("id", "root", "above"), "lifted")
-        near = edges.join(lifted, edges.b == lifted.id).groupBy(F.col("a").alias("id")).agg(F.min("above").alias("near"))
-        lower = written(lifted.join(near, "id").select("id", "root", F.least("above", "near").alias("low")), "lower")
-        hooks = lower.groupBy(F.col("root").alias("id")).agg(F.min("low").alias("hook"))
-        new = written(lower.join(hooks, "id", "left").select("id", F.least("low", "hook").alias("root"), F.col("root").alias("old")), "roots")
-        roots = new.select("id", "root")
-        if new.where("root <> old").isEmpty():
-            return roots
+    edges = links.select("a", "b").where("a <> b")
+    edges = written(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        rank = lambda c, salt=f"round {len(rounds)}": F.struct(F.xxhash64(F.lit(salt), c).alias("rank"), F.col(c).alias("id"))
+        over = written(edges.groupBy("a").agg(F.least(F.min(rank("b")), rank("a"))["id"].alias("over")), "over")
+        rounds.append(over)
+        from_a = edges.join(over, "a").select(F.col("over").alias("x"), "b")
+        drawn = from_a.join(over.select(F.col("a").alias("b"), "over"), "b").where("x <> over")
+        edges = written(drawn.select(F.col("x").alias("a"), F.col("over").alias("b")).distinct(), "edges")
+    if not rounds:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    last = rounds.pop()
+    for over in reversed(rounds):
+        last = over.join(last.select(F.col("a").alias("over"), F.col("over").alias("later")), "over", "left").select("a", F.coalesce("later", "over").alias("over"))
+    last = written(last, "ends")
+    least = last.groupBy("over").agg(F.min("a").alias("root"))
+    return written(last.join(least, "over").select(F.col("a").alias("id"), "root"), "components")
 
 
 #: A bitmap row has this many bits; all rows together are at most 2 ** 30 bits, 128 MB, however many ids there are.

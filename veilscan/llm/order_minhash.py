@@ -40,18 +40,20 @@ from pyspark.sql import functions as F
 from veilscan.llm.common import WORDS, components, mark_members, written
 
 K = 5
-ELL = 2
-TABLES = 20
+ELL = 3
+TABLES = 24
 SIMILARITY = 0.8
 #: Members of a hub that one run of rows holds; its text is sent once for each run.
 RUN = 512
 #: Rounds go on as long as each leaves at most this share of the open members.
 PROGRESS = 0.7
 #: Words are counted in so many cells for the bound; blocks of members outside and of all members that meet at once.
-CELLS = 256
+CELLS, COARSE = 256, 32
+#: The share of two texts' words that may be left unaligned.
+MOST_APART = (1 - SIMILARITY) / (1 + SIMILARITY)
 OUTSIDE_BLOCK, MEMBER_BLOCK = 128, 512
 #: Partners in each block that a member still outside is aligned with, round by round; the last has no limit.
-NEAREST_FIRST = (1, 8, None)
+NEAREST_FIRST = (4, None)
 #: Lengths within one class differ by less than this factor, which is above 1 / SIMILARITY.
 LENGTH_CLASS = 1.26
 #: Rows of texts that a worker is sent at once, and words that it sketches at once.
@@ -125,26 +127,30 @@ def sketch(labelled: np.ndarray, counts: np.ndarray, ell: int = ELL, tables: int
     keys = np.empty((len(counts), tables), dtype=np.uint64)
     starts = np.cumsum(counts) - counts
     some = np.flatnonzero(counts >= ell)
-    text = np.repeat(np.arange(len(counts)), counts)
-    inside = counts[text] >= ell if len(some) < len(counts) else None
-    held = labelled if inside is None else labelled[inside]
+    few = np.flatnonzero(counts < ell)
     sizes = counts[some]
+    held = labelled[np.repeat(counts >= ell, counts)] if len(few) else labelled
+    text = np.repeat(np.arange(len(some)), sizes)
     heads = np.cumsum(sizes) - sizes
+    # the least are looked for among hashes below a bound that hardly any text has too few of
+    share = np.minimum(1.0, (4 * ell + 8) / np.maximum(sizes, 1))
+    bound = np.repeat(np.where(share < 1, (share * 2.0**63).astype(np.uint64) * np.uint64(2), _NEVER), sizes)
     with np.errstate(over="ignore"):
         for t in range(tables):
             if len(some):
                 hashed = held * _FACTORS[t]
-                found = []
-                for _ in range(ell):
-                    least = np.minimum.reduceat(hashed, heads)
-                    at = np.flatnonzero(hashed == np.repeat(least, sizes))  # one in each text: its k-mers are unique, and so are the products
-                    found.append(at)
-                    hashed[at] = _NEVER
+                low = np.flatnonzero(hashed <= bound)
+                order = low[np.lexsort((hashed[low], text[low]))]
+                own = np.bincount(text[low], minlength=len(some))
+                first = np.cumsum(own) - own
+                least = order[np.minimum(first[:, None] + np.arange(ell), len(order) - 1)]
+                for i in np.flatnonzero(own < ell):
+                    least[i] = heads[i] + np.argsort(hashed[heads[i] : heads[i] + sizes[i]], kind="stable")[:ell]
                 key = np.full(len(some), _FACTORS[t])
-                for at in np.sort(np.stack(found), axis=0):  # in text order
+                for at in np.sort(least, axis=1).T:  # in text order
                     key = _mix(key * _MIX1 + held[at])
                 keys[some, t] = key
-            for i in np.flatnonzero(counts < ell) if inside is not None else ():
+            for i in few:
                 key = _FACTORS[t]
                 for g in labelled[starts[i] : starts[i] + counts[i]]:
                     key = _mix(key * _MIX1 + g)
@@ -306,7 +312,8 @@ def alignment(a: str, b: str, least: float = SIMILARITY) -> float:
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (hub, id) with whether their whole texts (of ``texts``: id, text) are similar.
+    """``pairs`` (hub, id, size: of about how many for the hub) with whether their whole texts (of ``texts``: id, text)
+    are similar.
 
     Rows come in runs of one hub and up to about RUN members; each run begins with the hub's text, so a worker holds
     one text of either side.
@@ -326,8 +333,8 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     similar.append(side.alignment(words) >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(ids, pa.int64()), pa.array(similar, pa.bool_())], names=["hub", "id", "similar"])
 
-    runs = pairs.join(pairs.groupBy("hub").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs")), "hub")
-    runs = written(runs.select("hub", "id", F.pmod(F.xxhash64(F.lit("run"), "id"), F.col("runs")).cast("int").alias("run")), "runs")
+    each = pairs.groupBy("hub", "id").agg(F.max("size").alias("size"))
+    runs = written(each.select("hub", "id", F.pmod(F.xxhash64(F.lit("run"), "id"), F.ceil(F.col("size") / RUN)).cast("int").alias("run")), "runs")
     heads = runs.select("hub", "run").distinct()
     ids = runs.select("id").unionAll(heads.select("hub")).distinct()
     own = mark_members(texts, "id", ids, "in_pairs").where("in_pairs").drop("in_pairs")
@@ -343,12 +350,11 @@ def may_pass(n_a, n_b):
 
 
 def still_open(held: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members (key, id, n, met, root, main) of buckets that hold several components; main is the largest of these."""
+    """Members (key, id, n, met, root, main, size) of buckets that hold several components; main is the largest of these."""
     rows = held.withColumn("root", F.col("id")) if roots is None else held.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = written(rows.select("key", "id", "n", "met", "root"), "members")
     groups = rows.groupBy("key", "root").agg(F.count("*").alias("k"), F.max("met").alias("top"))
-    main = groups.groupBy("key").agg(F.max(F.struct("k", "top", (-F.col("root")).alias("minus_root"))).alias("best"), F.count("*").alias("groups")).where("groups > 1")
-    return written(rows.join(main.select("key", (-F.col("best.minus_root")).alias("main")), "key"), "open")
+    main = groups.groupBy("key").agg(F.max(F.struct("k", "top", (-F.col("root")).alias("minus_root"))).alias("best"), F.count("*").alias("groups"), F.sum("k").alias("size")).where("groups > 1")
+    return written(rows.join(main.select("key", (-F.col("best.minus_root")).alias("main"), "size"), "key").select("key", "id", "n", "met", "root", "main", "size"), "open")
 
 
 def elected(members: DataFrame) -> DataFrame:
@@ -365,17 +371,18 @@ def outside_pairs(members: DataFrame, counted: DataFrame, nearest: int | None =
     many partners are taken, those that the bound puts nearest.
     """
     rows = members.join(counted, "id").withColumn("length", F.floor(F.log("n") / F.log(F.lit(LENGTH_CLASS))).cast("int"))
-    rows = written(rows.select("key", "id", "root", "main", "n", "cells", "length"), "outside")
+    rows = written(rows.select("key", "id", "root", "main", "size", "n", "cells", "length"), "outside")
     near = F.explode(F.array(*(F.col("length") + d for d in (-1, 0, 1))))  # lengths that can pass are at most one class apart
     outside = rows.where("root <> main")
     if nearest:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
-        best = outside.select("key", "id").join(sizes, "key").groupBy("id").agg(F.max(F.struct("size", "key")).alias("best"))
-        outside = outside.join(best.select("id", F.col("best.key").alias("key")), ["id", "key"]).select(rows.columns)
+        best = outside.groupBy("id").agg(F.max(F.struct("size", "key")).alias("best"))
+        best = written(best.select("id", F.col("best.key").alias("key")), "best")
+        outside = outside.join(best, ["id", "key"]).select(rows.columns)
+        rows = rows.join(best.select("key").distinct(), "key", "left_semi")
     outside = written(outside.withColumn("length", near), "outside")
     n_out = outside.groupBy("key", "length").agg(F.ceil(F.count("*") / OUTSIDE_BLOCK).cast("int").alias("n_out"))
     n_all = rows.groupBy("key", "length").agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("n_all"))
-    blocks = written(n_out.join(n_all, ["key", "length"]), "blocks")
+    blocks = n_out.join(n_all, ["key", "length"])
     own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     columns = ["key", "length", "id", "root", "main", "n", "cells"]
@@ -389,11 +396,14 @@ def outside_pairs(members: DataFrame, counted: DataFrame, nearest: int | None =
             ids, roots, n = (y[c].to_numpy() for c in ("id", "root", "n"))
             counts = np.frombuffer(b"".join(y["cells"]), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16)
             in_main = roots == y["main"].to_numpy()
+            coarse = counts.reshape(len(ids), -1, CELLS // COARSE).sum(axis=2, dtype=np.int32)  # sums of cells bound as well, for less
             for i, root, m, c in zip(x["id"], x["root"], x["n"], x["cells"], strict=True):
                 near = np.flatnonzero((roots != root) & (in_main | (ids > i)) & (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)))
-                apart_by = np.abs(counts[near] - np.frombuffer(c, dtype=np.uint8).astype(np.int16)).sum(axis=1, dtype=np.int64)
-                share = apart_by / (n[near] + m)
-                able = np.flatnonzero(share <= (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-12)
+                cell = np.frombuffer(c, dtype=np.uint8).astype(np.int16)
+                apart = np.abs(coarse[near] - cell.reshape(-1, CELLS // COARSE).sum(axis=1, dtype=np.int32)).sum(axis=1)
+                near = near[apart <= MOST_APART * (n[near] + m) + 1e-9]
+                share = np.abs(counts[near] - cell).sum(axis=1, dtype=np.int64) / (n[near] + m)
+                able = np.flatnonzero(share <= MOST_APART + 1e-12)
                 if nearest and len(able) > nearest:
                     able = able[np.lexsort((ids[near[able]], share[able]))[:nearest]]
                 found += ((i, j) for j in ids[near[able]].tolist())
@@ -401,7 +411,7 @@ def outside_pairs(members: DataFrame, counted: DataFrame, nearest: int | None =
 
     keys = ["key", "length", "o", "m"]
     right = right.select(*(F.col(c).alias(f"{c}_") for c in right.columns))
-    return left.groupBy(*keys).cogroup(right.groupBy(*(f"{c}_" for c in keys))).applyInPandas(meet, "hub long, id long").distinct()
+    return left.groupBy(*keys).cogroup(right.groupBy(*(f"{c}_" for c in keys))).applyInPandas(meet, "hub long, id long").select("hub", "id", F.lit(nearest or RUN).alias("size"))
 
 
 def near_classes(docs: DataFrame, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -413,12 +423,14 @@ def near_classes(docs: DataFrame, texts: DataFrame | None = None) -> tuple[DataF
     distinct = written(facts, "distinct")
 
     entries = distinct.where((F.size("keys") > 0) & F.col("id").isNotNull()).select("id", "n", F.explode("keys").alias("key"))
-    sizes = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = written(entries.join(sizes, "key"), "buckets")
-    met = written(buckets.groupBy("id").agg(F.sum("size").alias("met")), "met")
+    met = buckets.groupBy("id").agg(F.sum("size").alias("met"))
     held = written(buckets.join(met, "id").select("key", "id", "n", "met"), "held")
     # all texts that any round compares, each once however many documents have it
-    wanted = written(mark_members(texts, "id", met.select("id"), "held").where("held").drop("held").join(met.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    members = written(held.select("id").distinct(), "ids")
+    wanted = mark_members(texts, "id", members, "held").where("held").drop("held").join(members, "id", "left_semi")
+    wanted = written(wanted.dropDuplicates(["id"]), "texts")
 
     links = None
     roots, left = None, None
@@ -428,21 +440,20 @@ def near_classes(docs: DataFrame, texts: DataFrame | None = None) -> tuple[DataF
         if not now or (left is not None and now > PROGRESS * left):
             break
         left = now
-        hubs = written(elected(members), "hubs")
-        met_hub = members.join(hubs, "key")
-        pairs = met_hub.where((F.col("root") != F.col("hub_root")) & may_pass(F.col("n"), F.col("hub_n"))).select("hub", "id").distinct()
-        links = _with(links, linked(written(pairs, "pairs"), wanted).where("similar"))
-        roots = written(components(links), "components")
-        held = met_hub.where("id <> hub").select("key", "id", "n", "met")
+        met_hub = written(members.join(elected(members), "key").where("id <> hub"), "hubs")
+        pairs = met_hub.where((F.col("root") != F.col("hub_root")) & may_pass(F.col("n"), F.col("hub_n"))).select("hub", "id", "size")
+        links = _with(links, linked(pairs, wanted).where("similar"))
+        roots = components(links)
+        held = met_hub.select("key", "id", "n", "met")
     tested = None
     for nearest in NEAREST_FIRST if now else ():
         pairs = outside_pairs(members, distinct.select("id", "cells"), nearest)
-        new = linked(written(pairs if tested is None else pairs.join(tested, ["hub", "id"], "left_anti"), "pairs"), wanted)
+        new = linked(pairs if tested is None else pairs.join(tested, ["hub", "id"], "left_anti"), wanted)
         tested = new.select("hub", "id") if tested is None else tested.unionAll(new.select("hub", "id"))
         more = new.where("similar")
         if not more.isEmpty():
             links = _with(links, more)
-            roots = written(components(links), "components")
+            roots = components(links)
             members = still_open(held, roots)
             if members.isEmpty():
                 break
