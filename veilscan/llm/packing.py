@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilscan.llm.common import slices
 from veilscan.llm.scripts import LETTERS, NUMBERS, SPACE, byte_letters, is_plain
 
 END_ID = 1
@@ -269,7 +270,7 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = EN
         def table(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             firsts = batch.column(2).to_pylist() if loss_from else [None] * batch.num_rows
             out: list[tuple] = []
             for doc, text, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), firsts, strict=True):

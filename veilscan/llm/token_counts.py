@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilscan.llm.common import slices
 from veilscan.llm.scripts import LETTERS, NUMBERS, SPACE, byte_letters, is_plain
 
 LIMIT = 1024
@@ -257,7 +258,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
-        for batch in batches:
+        for batch in slices(batches, 1_024):  # more words are new at once, so more share a beginning
             texts = batch.column(1).to_pylist()
             counts = counter.count_all(texts)
             sizes = [0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in texts]
@@ -271,7 +272,7 @@ def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
-        for batch in batches:
+        for batch in slices(batches, 16):
             tables = [counter.prefix_counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tables, pa.list_(pa.int32()))], names=["doc_id", "counts"])
 
