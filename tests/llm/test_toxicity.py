@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
+from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,10 +48,65 @@ def test_context_separates_quotation():
     scorer = Scorer(Model((Entry("idiot", 1, False),)))
     spans = {t: scorer.spans(t)[0] for t in ("you are an idiot", 'he used "idiot" there', "she said idiot once", 'a "b" idiot "c"', "you idi0t")}
     assert [(s["quoted"], s["addressed"], s["edits"]) for s in spans.values()] == [(False, True, 0), (True, True, 0), (True, True, 0), (False, False, 0), (False, True, 1)]
-    scores = [scorer.score(scorer.features(t)) for t in ("you are an idiot", "you are an idiott", 'the "idiot" entry', "you are kind")]
+    scores = [scorer.score(scorer.features(t)) for t in ("you are an idiot", "you are an idiott", "you are kind", 'the "idiot" entry')]
     assert scores == sorted(scores, reverse=True) and len(set(scores)) == 4
 
 
+def test_quotation_never_raises_a_score(spark):
+    model = toxicity.fit(documents(spark, MIDDLE), table(spark, "labels", MIDDLE))
+    for own in (model, Model((Entry("idiot", 1, False),))):
+        scorer = Scorer(own)
+        score = lambda t: scorer.score(scorer.features(t))
+        for quoted in ('they wrote "idiot" there', "he called him an idiot", "das Zitat: „idiot“ steht da"):
+            assert score(quoted) <= score("nothing at all")
+            assert score(quoted) < toxicity.THRESHOLD <= score("you idiot, you idiot")
+
+
+def brute_score(model, text):
+    """A whole text's score by plain tables of distances, word by word."""
+    words = [(m.group(), m.start(), m.end()) for m in toxicity.TOKEN.finditer(text.lower())]
+    different = {w for w, _, _ in words}
+    plain, shared = [e for e in model.entries if not e.share], {e.text: e for e in model.entries if e.share}
+
+    def best(word):
+        found = []
+        for n, e in enumerate(plain):
+            d = min(distance(word[:k], e.text) for k in (range(len(word) + 1) if e.stem else [len(word)]))
+            if d <= e.edits:
+                found.append((d, n))
+        return (plain[min(found)[1]], min(found)[0]) if found else None
+
+    hits = {w: h for w in different if (h := best(w))}
+    begun, plainly = {t: {w for w in different if w.startswith(t)} for t in shared}, dict(hits)
+    for t in sorted(shared, key=len):  # the longest beginning that is frequent enough wins
+        if len(begun[t]) >= 2 and 1000 * len(begun[t]) >= shared[t].share * len(different):
+            hits |= {w: (shared[t], 0) for w in begun[t] - plainly.keys()}
+    sums, entries = Counter(), set()
+    for i, (w, start, end) in enumerate(words):
+        if w in hits:
+            entry, edits = hits[w]
+            before, after = [x for x, _, _ in words[max(0, i - 6) : i]], [x for x, _, _ in words[i + 1 : i + 7]]
+            if set(before) & toxicity.REPORTING or Scorer._in_quotes(text.lower()[max(0, start - 160) : start], text.lower()[end : end + 160]):
+                sums["quoted"] += entry.weight
+                continue
+            sums["near" if edits else "exact"] += entry.weight
+            if not edits:
+                entries.add(entry.text)
+                sums["addressed"] += bool(set(before + after) & toxicity.ADDRESS)
+    values = [math.log1p(sums[n]) for n in ("exact", "near", "quoted", "addressed")] + [math.log1p(max(0, len(entries) - 1))]
+    return 1 / (1 + math.exp(-model.weights[0] - sum(w * v for w, v in zip(model.weights[1:], values, strict=True))))
+
+
+def test_scores_of_whole_texts_equal_brute_force(spark):
+    docs = documents(spark).where("length(text) < 1500").limit(60)
+    docs = docs.unionAll(spark.createDataFrame([(9_000 + k, t, "en", "x", len(t)) for k, t in enumerate(["You IDIOT, stupidd!", 'he said "moron" and you moron', "pathetic worthles l0ser you", "trash trashy", ""])], docs.schema))
+    model = toxicity.fit(documents(spark, MIDDLE), table(spark, "labels", MIDDLE))
+    model = Model((*model.entries, Entry("trash", 1, True), Entry("anti", 0, True, 1.0, 4)), model.weights)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        assert r["score"] == pytest.approx(brute_score(model, texts[r["doc_id"]]), abs=1e-9), r["doc_id"]
+
+
 def test_held_out_accuracy(spark):
     scored = registry.op1_toxicity(spark, MIDDLE).join(table(spark, "labels", MIDDLE), "doc_id").where("held_out").collect()
     positive = [r for r in scored if r["predicted"]]

@@ -4,8 +4,8 @@ The lexicon is a trie of terms (whole words) and stems (word beginnings), each w
 edits.  All terms' Levenshtein automata are run over a word at once: a state is the set of (trie node, edits)
 pairs that the letters read so far can reach, and states and transitions are made when first needed and kept,
 so a word costs one table look-up per letter.  Each hit is weighed by a window of words around it: a hit
-between quotation marks, or after a reporting verb, counts as quotation, one with a person addressed nearby as
-abuse.  A ridge logistic model over these sums gives the score.
+between quotation marks, or after a reporting verb, counts as quotation, which never speaks for abuse, one with a
+person addressed nearby as abuse.  A ridge logistic model over these sums gives the score.
 
 Lexicon and weights are learned from labelled rows only: of a bounded sample, words and word beginnings that
 (almost) only toxic rows have, chosen greedily by how many toxic rows they newly explain, then those that stand out
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import bounded_sample, map_batches
+from veilscan.llm.common import bounded_sample, map_batches, slices
 
 #: At most so many labelled rows are used to learn lexicon and weights.
 SAMPLE_ROWS = 12_000
@@ -57,7 +57,7 @@ QUOTE_OPEN, QUOTE_CLOSE = "\"“„«‹", "\"”“»›"
 _QUOTE_SPAN = 160
 FEATURES = ("exact", "near", "quoted", "addressed", "distinct")
 #: Prior means of the weights (base score first); learning shrinks towards them.
-PRIOR = (-3.0, 2.5, 1.2, 0.3, 0.5, 1.0)
+PRIOR = (-3.0, 2.5, 1.2, -0.5, 0.5, 1.0)
 
 
 @dataclass(frozen=True)
@@ -284,7 +284,7 @@ def _counted(texts: DataFrame, keep: frozenset[str] | None) -> DataFrame:
             seen.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 grams = _grams(text)
                 seen.update(grams if keep is None else grams & keep)
@@ -387,7 +387,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """Learn from at most ``sample_rows`` rows of ``labels`` (doc_id, toxic) and their documents' texts."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") == 1).alias("is_toxic"))
     sample = bounded_sample(known, "doc_id", sample_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").persist()  # at most sample_rows ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows ids
+    # of rows that repeat an id the least text counts, so there are no more rows than labels and reruns agree
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("text", "is_toxic")).alias("row")).select("doc_id", "row.*").persist()
     try:
         sizes = {r["is_toxic"]: r["n"] for r in texts.groupBy("is_toxic").agg(F.count("*").alias("n")).collect()}
         n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
@@ -414,11 +416,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             entries += choose_entries({r["doc_id"]: set(r["grams"]) for r in held}, good, beyond_chance, entries)
         if not (n_pos and n_neg):
             return Model(tuple(entries))
-        measured = features(texts.select("doc_id", "text"), Model(tuple(entries))).join(F.broadcast(sample), "doc_id").limit(2 * sample_rows).toPandas()
+        measured = features(texts.select("doc_id", "text"), Model(tuple(entries))).join(F.broadcast(sample), "doc_id").limit(sample_rows).toPandas()
         measured = measured.sort_values("doc_id", kind="stable")
         weights = fit_weights(np.array(measured["features"].tolist()), measured["is_toxic"].to_numpy(dtype=float))
-        # evidence must not count against a text
-        return Model(tuple(entries), (weights[0], *(max(0.0, w) for w in weights[1:])))
+        # evidence must not count against a text, nor quotation for one
+        return Model(tuple(entries), (weights[0], *(min(0.0, w) if name == "quoted" else max(0.0, w) for name, w in zip(FEATURES, weights[1:], strict=True))))
     finally:
         texts.unpersist()
 
@@ -426,9 +428,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def _scored(docs: DataFrame, model: Model, schema: str, make) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
-            if batch.num_rows:
-                yield make(scorer, batch)
+        for batch in slices(batches):
+            yield make(scorer, batch)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
@@ -469,8 +470,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array([scorer.score(scorer.features(t)) < threshold for t in batch.column(position).to_pylist()], pa.bool_()))
+        for batch in slices(batches):
+            yield batch.filter(pa.array([scorer.score(scorer.features(t)) < threshold for t in batch.column(position).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
