@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import cut, scratch, written
+from veilscan.llm.common import cut, mark_members, scratch, slices, written
 
 MIN_REVISIT = 1000
 SEGMENT = 16_384
@@ -108,7 +108,8 @@ def decided(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, payload, refers_to, copy: which pages are stored and which revisit another.
 
     Equal long payloads find the largest id in an aggregate that is combined before its shuffle; it is joined
-    back by an equi-join of two fresh exchanges, which adaptive execution splits where one payload is very frequent.
+    back to payloads that have an equal one, by an equi-join of two fresh exchanges, which adaptive execution splits
+    where one payload is very frequent.  The others stay where they are.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
@@ -116,9 +117,13 @@ def decided(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     keys = rows.select("page_id", "url", digest.alias("digest"))
     groups = keys.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("origin"), F.max(F.struct("page_id", "url"))["url"].alias("origin_url"), F.count("*").alias("n")).where("n > 1")
     groups = written(groups.select("digest", "origin", "origin_url"), "origins")
-    # short payloads get a key of their own, lest they all meet in one task
-    joined = rows.withColumn("digest", F.coalesce(digest, F.concat(F.lit("short "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))).join(groups, "digest", "left")
-    return joined.select("page_id", "url", "payload", F.when(F.col("origin") != F.col("page_id"), F.col("origin")).alias("refers_to"), "origin_url")
+    # only payloads that others may equal are moved
+    rows = rows.withColumn("digest", digest).withColumn("place", F.xxhash64("digest"))
+    marked = mark_members(rows, "place", groups.select(F.xxhash64("digest").alias("place")), "again")
+    again = marked.where("again and digest is not null").join(groups, "digest", "left").select("page_id", "url", "payload", "origin", "origin_url")
+    nothing = F.lit(None)
+    alone = marked.where("not again or digest is null").select("page_id", "url", "payload", nothing.cast("long").alias("origin"), nothing.cast("string").alias("origin_url"))
+    return again.unionAll(alone).select("page_id", "url", "payload", F.when(F.col("origin") != F.col("page_id"), F.col("origin")).alias("refers_to"), "origin_url")
 
 
 def write_archives(pages: DataFrame, folder: str, archive: int = ARCHIVE) -> DataFrame:
@@ -137,16 +142,16 @@ def write_archives(pages: DataFrame, folder: str, archive: int = ARCHIVE) -> Dat
             nonlocal out
             if out is not None:
                 out.close()
-                store.move(f"{paths[-1]}.{attempt}", paths[-1])
                 out = None
 
-        for batch in batches:
+        for batch in slices(batches):
             for page, url, payload, refers_to, origin_url in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 rows += 1
                 for record in records(page, url, payload, refers_to, origin_url, f"{number}/{rows}"):
                     if out is None:
-                        paths.append(f"{root}/part-{number:06d}-{len(paths):04d}.warc.gz")
-                        out = store.open_output_stream(f"{paths[-1]}.{attempt}", compression=None)
+                        # an attempt's archives are its own, and only the rows of the one that counts name any
+                        paths.append(f"{root}/part-{number:06d}-{attempt}-{len(paths):04d}.warc.gz")
+                        out = store.open_output_stream(paths[-1], compression=None)
                         out.write(member(one_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("info", number, len(paths))), ("WARC-Date", _DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")))
                     out.write(member(record))
                     if out.tell() >= archive:
