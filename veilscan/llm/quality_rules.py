@@ -249,7 +249,9 @@ def learn(data: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 24, max
 
 def learn_rules(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learn from at most ``sample_rows`` labelled rows; ``stats`` is a table of statistics of exactly those rows or more."""
-    rows = stats.join(labels, "doc_id").select("bad", *(c.alias(n) for n, c in measures().items())).limit(sample_rows).toPandas()
+    rows = stats.join(labels, "doc_id").select("doc_id", "bad", *(c.alias(n) for n, c in measures().items()))
+    # of rows that repeat an id the least counts, so there are no more rows than labels and reruns agree
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("bad", *measures())).alias("row")).select("row.*").limit(sample_rows).toPandas()
     if rows.empty:
         return []
     rows = rows.sort_values(list(rows.columns), kind="stable")  # the order in which rows arrive decides nothing
