@@ -1,8 +1,9 @@
 from __future__ import annotations
 
+import zstandard
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import MIDDLE, clashing, documents, empty, odd
+from tests.llm.helpers import MIDDLE, SMALL, clashing, documents, empty, odd
 from veilscan.llm import language_id as L
 from veilscan.llm import registry
 from veilscan.llm.common import crc_bucket
@@ -15,6 +16,29 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in sure) >= 0.95 * len(sure)
 
 
+def test_query_equals_brute_force(spark):
+    """Every block of every text compressed anew for each language, the fewest bytes in all winning."""
+    docs = documents(spark)
+    dictionaries = L.train(docs.where(crc_bucket("doc_id", 3) != 1))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = registry.op9_language_id(spark, SMALL).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        data, sizes = text.lower().encode(), {}
+        for lang, raw in dictionaries.items():
+            made = zstandard.ZstdCompressor(level=L.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+            sizes[lang] = sum(len(made.compress(data[i : i + L.BLOCK])) for i in range(0, len(data), L.BLOCK))
+        ranked = sorted(sizes, key=lambda lang: (sizes[lang], lang))
+        # a prepared dictionary may cost or save a byte or two in a block
+        slack = 3 * (len(data) // L.BLOCK + 1)
+        assert r["lang_pred"] == ranked[0] or sizes[r["lang_pred"]] - sizes[ranked[0]] <= slack
+        assert abs(r["margin"] - (sizes[ranked[1]] / sizes[ranked[0]] - 1)) <= 2 * slack / sizes[ranked[0]] or r["lang_pred"] != ranked[0]
+
+
 def test_nothing_is_learned_from_the_held_out_third(spark):
     docs = documents(spark)
     turned = docs.withColumn("lang", F.when(crc_bucket("doc_id", 3) == 1, "xx").otherwise(F.col("lang")))

@@ -86,6 +86,24 @@ def test_loss_limits_hold(spark, library):
         assert r["loss_tokens"] == max(0, min(r["length"], r["start"] + r["length"] - firsts[r["doc_id"]]))
 
 
+def test_conversations_under_all_three_limits(spark, library):
+    """Instruction data: of each conversation only what follows its first turn bears loss."""
+    turns = spark.read.parquet(f"{MIDDLE}/conversations.parquet").where("text is not null")
+    talks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).collect()
+    rows = [(r["conv_id"], "\n".join(x["text"] for x in r["t"]), len(ids(library, r["t"][0]["text"]))) for r in talks]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, answer_from int")
+    limits = Limits(tokens=1024, segments=6, loss_tokens=400)
+    found = packing.pack(docs, PATH, limits, loss_from="answer_from").collect()
+    check(found, {i: [*ids(library, t), 1] for i, t, _ in rows}, limits)
+    full = defaultdict(lambda: [0, 0, 0])
+    for r in found:
+        for k, n in enumerate((r["length"], 1, r["loss_tokens"])):
+            full[r["sequence_id"]][k] += n
+    # each of the three limits is what closes some sequence
+    assert any(t > 0.95 * 1024 for t, _, _ in full.values()) or any(n == 6 for _, n, _ in full.values())
+    assert any(loss > 0.9 * 400 for _, _, loss in full.values())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 90), max_size=60), st.integers(1, 6), st.integers(1, 64), st.integers(1, 12))
 def test_packer_places_everything(sizes, segments, loss, window):
