@@ -7,11 +7,15 @@ next stage's ``docs``; all but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from veilscan.llm import mixing, order_minhash, packing, quality_rules, registry, toxicity
-from veilscan.llm.common import crc_bucket, table, written
+from veilscan.llm.common import BATCH_ROWS, crc_bucket, table, written
+
+#: Rows that a Python worker is sent at once: texts are long, and five stages share an executor's memory.
+ROWS_AT_ONCE = 1_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +45,23 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, registry.vocabulary("word_bpe_49k.json"))
 
 
+def _in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with the session set to send few rows at once."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH_ROWS, str(ROWS_AT_ONCE))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("quality_rules", drop_poor),
-    ("near_duplicates", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
+    ("toxicity", _in_small_batches(drop_toxic)),
+    ("quality_rules", _in_small_batches(drop_poor)),
+    ("near_duplicates", _in_small_batches(drop_near_duplicates)),
+    ("mixing", _in_small_batches(mix_sources)),
+    ("packing", _in_small_batches(pack_sequences)),
 ]
 
 #: Learned models and packing cannot be put in SQL; tests hold the rows against brute force.
