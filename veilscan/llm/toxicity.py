@@ -193,7 +193,7 @@ class Scorer:
         found = {w: h for w in words if (h := known[w])}
         if not self.shared:
             return found
-        sizes = Counter(word[:k] for word in found for k in self.lengths if word[:k] in self.shared)
+        sizes = Counter(word[:k] for word in found for k in self.lengths if k <= len(word) and word[:k] in self.shared)
         enough = {t for t, n in sizes.items() if n >= 2 and 1000 * n >= self.shared[t].share * len(words)}
         out = {}
         for w, h in found.items():
