@@ -18,7 +18,11 @@ def test_scan_job_is_repeatable(spark, tmp_path):
     first = jobs.scan(spark, [home], store, bus)
     assert first.outcomes == {"scanned": 5, "excluded": 2, "unsupported_extension": 1}
     n = first.findings.count()
-    assert n and jobs.scan(spark, [home], store, bus).findings.count() == n and told == [n, n]
+    assert n and store.read("findings").count() == n
+    with open(f"{home}/more.txt", "w") as f:
+        f.write("call mobile: 9876543210\n")
+    again = jobs.scan(spark, [home], store, bus)
+    assert again.findings.count() == 1 and told == [n, 1] and store.read("findings").count() == n + 1
 
 
 def test_honeytokens_are_left_out(spark, tmp_path):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilscan import rules as R
 from veilscan.functions import paths, text
 
 EVENT_TYPE, SOURCE = "finding_discovered", "tracking_engine"
@@ -42,6 +43,11 @@ def to_findings(candidates: DataFrame, path: str | None = "file_path", ordinal:
     )
 
 
+def within_size(length: Column) -> Column:
+    """Whether a file is small enough to be scanned."""
+    return length <= R.MAX_FILE_BYTES
+
+
 def decisions(files: DataFrame, path: str = "path", tables: str | None = None) -> DataFrame:
     """The files with their scan decision."""
     return files.withColumn("decision", paths.scan_decision(F.col(path), F.col(tables) if tables else None))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veilscan import rules as R
 from veilscan.functions import paths
 from veilscan.operators import detect, findings
 from veilscan.sinks.store import Bus, Store, console
@@ -21,7 +20,7 @@ FINDING_TOPIC = "FINDING_DISCOVERED"
 
 @dataclass
 class ScanResult:
-    """What a scan found, and how many files came to which end."""
+    """What a scan found that the store did not have (see :meth:`Store.append`), and how many files came to which end."""
 
     findings: DataFrame
     outcomes: dict[str, int] = field(default_factory=dict)
@@ -41,7 +40,7 @@ def outcomes(listed: DataFrame, honeytokens: DataFrame | None = None) -> DataFra
         F.when(token, "honeytoken")
         .when(decision != "scan", decision)
         .when(F.col("length").isNull() | F.col("head").isNull(), "unreadable")
-        .when(F.col("length") > R.MAX_FILE_BYTES, "too_large")
+        .when(~findings.within_size(F.col("length")), "too_large")
         .when(~parser.isin("text_parser", "sqlite_parser"), "no_parser")
         .otherwise("scanned")
     )
@@ -49,7 +48,7 @@ def outcomes(listed: DataFrame, honeytokens: DataFrame | None = None) -> DataFra
 
 
 def scan(spark: SparkSession, roots: list[str], store: Store | None = None, bus: Bus | None = None, honeytokens: DataFrame | None = None, mode: str = "compat", mask_context: bool = False) -> ScanResult:
-    """Scan folders: list, decide, parse, detect, store and publish."""
+    """Scan folders: list, decide, parse, detect, store and publish what is new."""
     listed = outcomes(files.list_files(spark, roots), honeytokens).persist()
     try:
         counts = {r["outcome"]: r["n"] for r in listed.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
@@ -57,8 +56,10 @@ def scan(spark: SparkSession, roots: list[str], store: Store | None = None, bus:
         found = detect.detect(chunks, ["file_path"], content="content", path="file_path", mode=mode)
         rows = findings.to_findings(found, mask_context=mask_context)
         if store:
-            store.append("findings", rows)
-            rows = store.read("findings")
+            rows = store.append("findings", rows)
+        else:
+            rows = rows.persist()
+            rows.count()  # while the list of files is at hand
         if bus:
             bus.publish(FINDING_TOPIC, rows)
         return ScanResult(rows, counts)

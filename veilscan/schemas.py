@@ -16,6 +16,7 @@ ALERTS = (
     "username string, process_path string, attribution_source string"
 )
 HONEYTOKENS = "path string, token_id string, token_type string, deployed_at timestamp, content_hash string"
-FILE_EVENTS = "event_time timestamp, kind string, src_path string, dest_path string, is_directory boolean"
+#: ``event_id`` is the watcher's own, null where it gives none.
+FILE_EVENTS = "event_time timestamp, kind string, src_path string, dest_path string, is_directory boolean, event_id string"
 SYSMON = "system_time timestamp, event_id int, target_filename string, command_line string, image string, process_id int, user string"
 PROCESSES = "pid int, name string, exe string, username string, open_files array<string>"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,10 +22,22 @@ def file_events(spark: SparkSession, folder: str, files_per_trigger: int = 100)
     return spark.readStream.schema(FILE_EVENTS).option("maxFilesPerTrigger", str(files_per_trigger)).json(folder)
 
 
+def numbered(touched: DataFrame) -> DataFrame:
+    """``touched`` with an alert_id: each event is one of its own, delivered again or not.
+
+    An event that has an id is known by it.  Of those that have none, equal ones of a batch are told apart by a number, so a
+    batch that is run again finds the same ids.
+    """
+    own = F.col("event_id").cast("string") if "event_id" in touched.columns else F.lit(None).cast("string")
+    rows = touched.withColumn("_own", own)
+    equal = Window.partitionBy("_own", "path", "event_type", "event_time", "token_id").orderBy("event_time")
+    parts = [F.coalesce("_own", F.row_number().over(equal).cast("string")), F.when(F.col("_own").isNull(), "number").otherwise("id"), F.col("path"), F.col("token_id"), F.col("event_type"), F.unix_micros("event_time").cast("string")]
+    return rows.withColumn("alert_id", F.sha2(F.concat_ws("\x1f", *parts), 256)).drop("_own").dropDuplicates(["alert_id"])
+
+
 def attributed(touched: DataFrame, sysmon: DataFrame, processes: DataFrame) -> DataFrame:
     """Alerts for touched tokens: the system log first, then the process table."""
-    rows = touched.withColumn("alert_id", F.xxhash64("path", "event_type", F.unix_micros("event_time")))
-    return correlation.to_alerts(correlation.fall_back(correlation.nearest_in_time(rows.dropDuplicates(["alert_id"]), sysmon), processes))
+    return correlation.to_alerts(correlation.fall_back(correlation.nearest_in_time(numbered(touched), sysmon), processes))
 
 
 def start(
@@ -50,12 +62,14 @@ def start(
     def handle(batch: DataFrame, number: int) -> None:  # noqa: ARG001
         log = sysmon() if sysmon else spark.createDataFrame([], SYSMON)
         running = processes() if processes else spark.createDataFrame([], PROCESSES)
-        alerts = attributed(batch, log, running).persist()
+        batch = batch.persist()
         try:
+            alerts = attributed(batch, log, running).persist()
             store.append("honeycomb_alerts", alerts)
             bus.publish(TOPIC, alerts)
-        finally:
             alerts.unpersist()
+        finally:
+            batch.unpersist()
 
     writer = touched.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
