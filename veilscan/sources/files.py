@@ -1,7 +1,7 @@
 """Files below root folders, as a Spark data source written in Python.
 
 Spark's own ``binaryFile`` silently leaves out names that begin with a dot, such as ``.env``, so folders are walked
-here: excluded folders are pruned before they are entered, and each subtree below a root is a partition.  Listing
+here: excluded folders are pruned before they are entered, and subtrees, cut as deep as it takes, are partitions.  Listing
 gives path, length and the first bytes; contents are read later, only for files that are to be scanned.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import sqlite3
 from collections.abc import Iterable, Iterator
+from contextlib import closing
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from veilscan import rules as R
 from veilscan.functions import paths
+from veilscan.operators.findings import within_size
 from veilscan.schemas import CHUNKS
 
 FILES = "path string, length bigint, head binary, table_names array<string>"
@@ -40,15 +42,31 @@ def plain_excluded(path: str) -> bool:
     )
 
 
+def opened(path: str) -> closing[sqlite3.Connection]:
+    """An SQLite file, read-only, closed in the end."""
+    return closing(sqlite3.connect(Path(path).resolve().as_uri() + "?mode=ro", uri=True))
+
+
 def table_names(path: str) -> list[str]:
     """Tables of an SQLite file, opened read-only; none where it is no such file."""
     try:
-        with sqlite3.connect(Path(path).resolve().as_uri() + "?mode=ro", uri=True) as db:
+        with opened(path) as db:
             return sorted(row[0] for row in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'"))
     except sqlite3.Error:
         return []
 
 
+#: Folders that a walk is shared out by, at least, if there are so many.
+PARTITIONS = 256
+
+
+def subfolders(folder: str) -> list[str]:
+    try:
+        return sorted(e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False) and not plain_excluded(e.path))
+    except OSError:
+        return []
+
+
 class _Subtree(InputPartition):
     def __init__(self, path: str, deep: bool) -> None:
         self.path, self.deep = path, deep
@@ -63,8 +81,12 @@ class _FilesReader(DataSourceReader):
         for root in map(os.path.abspath, self.roots):
             if not os.path.isdir(root):
                 continue
-            out.append(_Subtree(root, False))
-            out += (_Subtree(e.path, True) for e in sorted(os.scandir(root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and not plain_excluded(e.path))
+            # breadth first, until there are folders enough to share out; each is a task for its own files or for all below it
+            level = [root]
+            while level and len(out) + len(level) < PARTITIONS:
+                out += (_Subtree(folder, False) for folder in level)
+                level = [below for folder in level for below in subfolders(folder)]
+            out += (_Subtree(folder, True) for folder in level)
         return out
 
     def read(self, partition: _Subtree) -> Iterator[tuple]:
@@ -107,7 +129,7 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
 def eligible(files: DataFrame) -> DataFrame:
     """Files that the policy scans, of a size that is scanned, with the parser that their first bytes ask for."""
     rows = files.withColumn("decision", paths.scan_decision(F.col("path"), F.col("table_names")))
-    rows = rows.where((F.col("decision") == "scan") & (F.col("length") <= R.MAX_FILE_BYTES))
+    rows = rows.where((F.col("decision") == "scan") & within_size(F.col("length")))
     return rows.withColumn("parser", paths.triage(F.col("path"), F.col("head"))).where("parser <> 'SKIP'")
 
 
@@ -126,7 +148,7 @@ def decode_text(data: bytes) -> tuple[str, str]:
 
 def sqlite_cells(path: str) -> Iterator[tuple[str, int, int, str]]:
     """(table, row, column, text) of all text cells; a table that can't be read is left out."""
-    with sqlite3.connect(Path(path).resolve().as_uri() + "?mode=ro", uri=True) as db:
+    with opened(path) as db:
         db.text_factory = lambda b: b.decode("utf-8", "ignore")
         for (name,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'").fetchall():
             try:
@@ -181,14 +203,15 @@ def cells(files: DataFrame) -> DataFrame:
 
 
 def gzip_variants(df: DataFrame, keep: str, content: str) -> DataFrame:
-    """Readable texts of gzip streams inside a binary column: (keep, variant).  Opt-in; text columns hold no gzip bytes."""
+    """Readable texts of gzip streams inside a binary column: (keep, variant).  Opt-in; text columns hold no gzip bytes.
+    Of a stream no more than the size limit of files is unpacked."""
     import zlib
 
     def unpack(data: bytes) -> Iterator[str]:
         at = data.find(b"\x1f\x8b")
         while at >= 0:
             try:
-                text = zlib.decompressobj(31).decompress(data[at:]).decode("utf-8")
+                text = zlib.decompressobj(31).decompress(data[at:], R.MAX_FILE_BYTES).decode("utf-8")
                 if text and sum(c.isprintable() or c in "\n\r\t" for c in text) / len(text) > R.PRINTABLE_SHARE:
                     yield text
             except (zlib.error, UnicodeDecodeError):
