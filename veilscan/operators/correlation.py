@@ -32,21 +32,32 @@ def token_events(events: DataFrame, tokens: DataFrame) -> DataFrame:
     return rows.join(known, "_norm").drop("_norm").withColumn("incident_type", incident(F.col("event_type")))
 
 
+#: Up to so many touched paths are looked for in each log row; a manifest has far fewer.
+NAMED_PATHS = 2_000
+
+
 def nearest_in_time(alerts: DataFrame, sysmon: DataFrame, seconds: int = R.CORRELATION_SECONDS) -> DataFrame:
     """Each alert (alert_id, event_time, path) with the process that the system log names within some seconds, if any.
 
-    An interval join: both sides are cut into slots as long as the interval, alerts go to the slot before, their
-    own and the next, and equal slots meet; what remains of the condition is tested there.  A log entry whose
-    target is the path comes before one whose command line has it; of the former the newest counts, of the latter
-    the oldest.
+    First it is found out which of the touched paths, few and broadcast, a log row names.  What remains is an interval join on
+    equal paths: both sides are cut into slots as long as the interval, alerts go to the slot before, their own and
+    the next, and equal slots and paths meet.  Where more paths are touched than a broadcast should hold, slots alone
+    meet and the names are tested there.  A log entry whose target is the path comes before one whose command line
+    has it; of the former the newest counts, of the latter the oldest.
     """
     slot = lambda c: F.floor(F.unix_micros(c) / (seconds * 1_000_000))
     log = sysmon.where("system_time is not null").select(slot(F.col("system_time")).alias("_slot"), "system_time", "target_filename", "command_line", "image", F.col("process_id").alias("_pid"), F.col("user").alias("_user"))
-    spread = alerts.select("alert_id", "event_time", normalized(F.col("path")).alias("_norm"), F.explode(F.sequence(slot(F.col("event_time")) - 1, slot(F.col("event_time")) + 1)).alias("_slot"))
-    has = lambda c: F.coalesce(F.contains(F.lower(normalized(F.col(c))), F.lower("_norm")), F.lit(False))
+    own = alerts.select("alert_id", "event_time", F.lower(normalized(F.col("path"))).alias("_path"))
+    spread = own.withColumn("_slot", F.explode(F.sequence(slot(F.col("event_time")) - 1, slot(F.col("event_time")) + 1)))
+    has = lambda c: F.coalesce(F.contains(F.lower(normalized(F.col(c))), F.col("_path")), F.lit(False))
+    touched = own.select("_path").distinct()
+    if touched.limit(NAMED_PATHS + 1).count() <= NAMED_PATHS:
+        named = log.join(F.broadcast(touched), has("target_filename") | has("command_line"))
+        met = spread.join(named, ["_slot", "_path"]).withColumn("_target", has("target_filename"))
+    else:
+        met = spread.join(log, "_slot").withColumn("_target", has("target_filename")).where(F.col("_target") | has("command_line"))
     # micros, not seconds: the bound is inclusive and exact
-    near = F.abs(F.unix_micros("event_time") - F.unix_micros("system_time")) <= seconds * 1_000_000
-    met = spread.join(log, "_slot").withColumn("_target", has("target_filename")).where(near & (F.col("_target") | has("command_line")))
+    met = met.where(F.abs(F.unix_micros("event_time") - F.unix_micros("system_time")) <= seconds * 1_000_000)
     age = F.when(F.col("_target"), -F.unix_micros("system_time")).otherwise(F.unix_micros("system_time"))
     best = met.groupBy("alert_id").agg(F.min(F.struct((~F.col("_target")).alias("later"), age.alias("age"), F.col("_pid"), F.col("image"), F.col("_user"))).alias("b"))
     named = best.select(
@@ -83,7 +94,7 @@ def to_alerts(attributed: DataFrame) -> DataFrame:
     """Stored alerts; the id is a digest of what the alert is about."""
     nothing = F.lit(None).cast("string")
     return attributed.select(
-        F.sha2(F.concat_ws("\x1f", F.col("path"), F.col("token_id"), F.col("event_type"), F.unix_micros("event_time").cast("string")), 256).alias("event_id"),
+        F.sha2(F.concat_ws("\x1f", F.col("path"), F.col("token_id"), F.col("event_type"), F.unix_micros("event_time").cast("string"), F.col("alert_id").cast("string")), 256).alias("event_id"),
         F.col("event_time").alias("timestamp"),
         F.lit("CRITICAL").alias("severity"),
         "event_type",
