@@ -20,9 +20,11 @@ def stripped_token(token: Column) -> Column:
 
 def tokens(text: Column, all_lengths: bool = False) -> Column:
     """Runs without white space, quotes, ``=`` and ``:``; those whose stripped length can matter, unless all are asked for."""
-    # one place for the pattern: runs are found, then judged while their offsets are summed
-    keep = None if all_lengths else lambda v: F.length(stripped_token(v)).between(R.TOKEN_MIN, R.TOKEN_MAX)
-    return spans(text, TOKEN, None if all_lengths else rf"[^\s\"'=:]{{{R.TOKEN_MIN}}}", keep)
+    if all_lengths:
+        return spans(text, TOKEN)
+    # only runs of the least length are found at all; stripping may make them shorter
+    long = TOKEN.removesuffix("+") + f"{{{R.TOKEN_MIN},}}"
+    return spans(text, long, long, lambda v: F.length(stripped_token(v)).between(R.TOKEN_MIN, R.TOKEN_MAX))
 
 
 def shannon(token: Column) -> Column:
@@ -54,12 +56,23 @@ def is_false_positive(token: Column) -> Column:
     return out
 
 
+_ASSET = "(" + "|".join(e.replace(".", r"\.") for e in R.ASSET_EXTENSIONS) + ")"
+
+
+def is_beside_asset(token: Column, context: Column) -> Column:
+    """Whether an asset's extension comes right after or before the token, white space between them aside.
+
+    White space beside extensions only is taken out, so that what is split elsewhere does not count as one.
+    """
+    low, near = F.lower(token), F.lower(context)
+    space = r"(?U)[\s\x1c-\x1f]+"
+    behind, ahead = F.regexp_replace(near, space + _ASSET, "$1"), F.regexp_replace(near, "(?U)" + _ASSET + r"[\s\x1c-\x1f]+", "$1")
+    return reduce(lambda a, b: a | b, (F.contains(behind, F.concat(low, F.lit(e))) | F.contains(ahead, F.concat(F.lit(e), low)) for e in R.ASSET_EXTENSIONS))
+
+
 def is_build_artifact(token: Column, context: Column) -> Column:
     """Asset names, tokens beside an asset's extension, and identifiers where the context speaks of a build."""
-    low = F.lower(token)
-    squeezed = F.regexp_replace(F.lower(context), r"(?U)[\s\x1c-\x1f]+", "")
-    beside = reduce(lambda a, b: a | b, (F.contains(squeezed, F.concat(low, F.lit(e))) | F.contains(squeezed, F.concat(F.lit(e), low)) for e in R.ASSET_EXTENSIONS))
-    return contains_any(low, R.ASSET_EXTENSIONS) | beside | (contains_any(F.lower(context), R.BUILD_HINTS) & token.rlike(rf"^{R.GENERATED_ID}\z"))
+    return contains_any(F.lower(token), R.ASSET_EXTENSIONS) | is_beside_asset(token, context) | (contains_any(F.lower(context), R.BUILD_HINTS) & token.rlike(rf"^{R.GENERATED_ID}\z"))
 
 
 def threshold(kind: Column, boosted: Column) -> Column:

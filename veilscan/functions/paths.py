@@ -63,15 +63,6 @@ def path_entity(path: Column) -> Column:
     return chain
 
 
-def path_pattern_match(path: Column) -> Column:
-    """What of the path the first path rule matched."""
-    p = normalized(path)
-    chain = F.when(p.rlike(R.PATH_RULES[0][0]), F.regexp_extract(p, R.PATH_RULES[0][0], 0))
-    for pattern, _ in R.PATH_RULES[1:]:
-        chain = chain.when(p.rlike(pattern), F.regexp_extract(p, pattern, 0))
-    return chain
-
-
 def is_distribution(path: Column) -> Column:
     """Something to install, below a downloads folder."""
     parts = components(path)
@@ -123,5 +114,5 @@ def triage(path: Column, head: Column) -> Column:
     chain = F.when(head.isNull(), "SKIP")
     for magic, parser in R.MAGICS:
         kind = F.when(extension(basename(path)).isin(*R.OFFICE_EXTENSIONS), "office_parser").otherwise("archive_parser") if parser == "zip" else F.lit(parser)
-        chain = chain.when(start.startswith(magic), kind)
+        chain = chain.when(start.startswith(magic.hex().upper()), kind)
     return chain.when(control_share_below(F.substring(head, 1, 512)), "text_parser").otherwise("SKIP")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,16 @@ def unicode_classes(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def passes(text: Column, guard: str | None) -> Column:
+    """Whether the text has what the guard asks for; plain strings are searched for without a pattern."""
+    if guard is None:
+        return text.isNotNull()
+    parts = guard.split("|")
+    if any(set(p) & set(r"\.^$*+?{}[]()") for p in parts):
+        return text.rlike(unicode_classes(guard))
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts))
+
+
 def spans(text: Column, pattern: str, guard: str | None = None, keep=None) -> Column:
     """All matches as array<struct<start, end, value>>, offsets in code points.
 
@@ -36,8 +48,7 @@ def spans(text: Column, pattern: str, guard: str | None = None, keep=None) -> Co
 
     empty = F.array().cast(_SPANS)
     walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    tested = text.isNotNull() if guard is None else text.rlike(unicode_classes(guard))
-    return F.when(tested, walked).otherwise(empty)
+    return F.when(passes(text, guard), walked).otherwise(empty)
 
 
 def window(text: Column, start: Column, end: Column, size: int = R.CONTEXT_CHARS) -> Column:

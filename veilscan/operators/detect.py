@@ -29,12 +29,17 @@ def _of_rule(values, idx: Column) -> Column:
 
 
 def rule_spans(content: Column, rules: tuple[R.Rule, ...] = R.RULES) -> Column:
-    """Matches of all rules: array<struct<rule_idx, start, end, value>>, by rule and place."""
+    """Matches of all rules: array<struct<rule_idx, start, end, value>>, those of one rule by place."""
 
     def of(idx: int, rule: R.Rule) -> Column:
         return F.transform(text.spans(content, rule.pattern, rule.guard), lambda s: F.struct(F.lit(idx).alias("rule_idx"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
-    return F.concat(*(of(i, r) for i, r in enumerate(rules)))
+    none = F.array().cast("array<struct<rule_idx:int,start:int,end:int,value:string>>")
+    numeric = [of(i, r) for i, r in enumerate(rules) if r.digits]
+    rest = [of(i, r) for i, r in enumerate(rules) if not r.digits]
+    if numeric:
+        rest.append(F.when(content.rlike(text.unicode_classes(R.FOUR_DIGITS)), F.concat(*numeric)).otherwise(none))
+    return F.concat(none, *rest)
 
 
 def _valid(idx: Column, value: Column, rules: tuple[R.Rule, ...]) -> Column:

@@ -148,10 +148,14 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
 _add("path_policy_decision", lambda spark, d: _decided(spark, d).select("doc_id", "path", "decision"), f"WITH {_FILES_SQL} SELECT doc_id, path, {_DECISION} AS decision FROM files")
 _add("policy_stats", lambda spark, d: findings.scan_statistics(_decided(spark, d)), f"WITH {_FILES_SQL} SELECT {_DECISION} AS decision, count(*) AS n FROM files GROUP BY 1")
 _add("path_exclusion", lambda spark, d: fixtures.files(spark, d).select("doc_id", paths.is_excluded(F.col("path")).alias("excluded")), f"WITH {_FILES_SQL} SELECT doc_id, {S.is_excluded('path')} AS excluded FROM files")
-_add("size_limit", lambda spark, d: fixtures.files(spark, d).where(F.col("length") <= 4_000).select("doc_id", "length"), f"WITH {_FILES_SQL} SELECT doc_id, length FROM files WHERE length <= 4000")
+_add(
+    "size_limit",
+    lambda spark, d: fixtures.files(spark, d).select("doc_id", (F.col("length") * 10_000).alias("length")).where(findings.within_size(F.col("length"))),
+    f"WITH {_FILES_SQL} SELECT doc_id, length * 10000 AS length FROM files WHERE length * 10000 <= {R.MAX_FILE_BYTES}",
+)
 _add("own_database", lambda spark, d: fixtures.files(spark, d).select("doc_id", paths.is_own_database(F.col("path"), F.col("table_names")).alias("own")), f"WITH {_FILES_SQL} SELECT doc_id, {_OWN} AS own FROM files")
 _MAGIC_SQL = " ".join(
-    f"WHEN starts_with(left(head, 16), '{magic}') THEN "
+    f"WHEN starts_with(left(head, 16), '{magic.hex().upper()}') THEN "
     + (f"CASE WHEN {S.within(S.extension(S.basename('path')), R.OFFICE_EXTENSIONS)} THEN 'office_parser' ELSE 'archive_parser' END" if parser == "zip" else f"'{parser}'")
     for magic, parser in R.MAGICS
 )
@@ -178,13 +182,13 @@ _add("path_suppression", _docs_query(lambda docs: docs.select("doc_id", paths.is
 
 def _roots(spark: SparkSession, d: str) -> DataFrame:
     pages = spark.read.parquet(f"{d}/pages.parquet")
-    return pages.select(F.concat(F.lit("/"), F.regexp_replace(F.regexp_extract("url", "://([^?#]*)", 1), "/+$", "")).alias("path")).unionAll(pages.select(F.concat(F.lit("/"), F.regexp_extract("url", "://([^/?#]*)", 1)).alias("path")).where("page_id % 3 = 0"))
+    return pages.select(F.concat(F.lit("/"), F.regexp_replace(F.regexp_extract("url", "://([^?#]*)", 1), "/+$", "")).alias("path")).unionAll(pages.select(F.concat(F.lit("/"), F.regexp_extract("url", "://([^/?#]*)", 1)).alias("path")))
 
 
 _add(
     "nested_roots",
     lambda spark, d: findings.outermost_roots(_roots(spark, d)),
-    "WITH roots AS (SELECT '/' || regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/+$', '') AS root FROM pages UNION SELECT '/' || regexp_extract(url, '://([^/?#]*)', 1) FROM pages WHERE page_id % 3 = 0) SELECT root FROM roots r WHERE NOT EXISTS (SELECT 1 FROM roots o WHERE o.root <> r.root AND starts_with(r.root, o.root || '/'))",
+    "WITH roots AS (SELECT '/' || regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/+$', '') AS root FROM pages UNION SELECT '/' || regexp_extract(url, '://([^/?#]*)', 1) FROM pages) SELECT root FROM roots r WHERE NOT EXISTS (SELECT 1 FROM roots o WHERE o.root <> r.root AND starts_with(r.root, o.root || '/'))",
 )
 
 # --- entropy -----------------------------------------------------------------------------------------------------
@@ -272,18 +276,18 @@ _add(
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html").where("html is not null")).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("/srv/config.json").alias("path"))
+    return spread(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("/srv/config.json").alias("path"))
 
 
-_PAGES_SQL = "docs AS (SELECT page_id AS doc_id, html AS text, '/srv/config.json' AS path FROM pages WHERE html IS NOT NULL)"
+_PAGES_SQL = "docs AS (SELECT page_id AS doc_id, html AS text, '/srv/config.json' AS path FROM pages)"
 _add("regex_findings_pages", lambda spark, d: _result(detect.detect_regex(_pages(spark, d), ["doc_id"], path="path")), f"WITH {_PAGES_SQL}, {_REGEX_SQL} SELECT {_RESULT_SQL} FROM kept UNION ALL SELECT {_RESULT_SQL} FROM ({_PATH_FINDINGS})")
 
 
 def _conversations(spark: SparkSession, d: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text").where("text is not null")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.lit("/srv/config.json").alias("path"))
+    return spread(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.lit("/srv/config.json").alias("path"))
 
 
-_TALKS_SQL = "docs AS (SELECT conv_id * 1000 + turn AS doc_id, text, '/srv/config.json' AS path FROM conversations WHERE text IS NOT NULL)"
+_TALKS_SQL = "docs AS (SELECT conv_id * 1000 + turn AS doc_id, text, '/srv/config.json' AS path FROM conversations)"
 _add("regex_findings_conversations", lambda spark, d: _result(detect.detect_regex(_conversations(spark, d), ["doc_id"], path="path")), f"WITH {_TALKS_SQL}, {_REGEX_SQL} SELECT {_RESULT_SQL} FROM kept")
 
 
@@ -386,6 +390,10 @@ _NEAR_SQL = (
     "attributed AS (SELECT a.alert_id, a.path, coalesce(regexp_extract(r.image, '([^/]*)$', 1), 'UNKNOWN') AS process_name, r.process_id, coalesce(r.username, 'UNKNOWN') AS username, coalesce(r.image, 'UNKNOWN') AS process_path, CASE WHEN r.alert_id IS NULL THEN 'UNKNOWN' ELSE 'SYSMON' END AS attribution_source FROM alerts a LEFT JOIN ranked r ON r.alert_id = a.alert_id AND r.k = 1)"
 )
 _PROCESSES_SQL = "opened AS (SELECT 10 + k AS pid, 'p' || k AS name, '/usr/bin/p' || k AS exe, 'u' || (k % 3) AS username, unnest(['/home/u/token' || k || '.txt', '/home/u/token' || ((k * 7) % 40) || '.txt']) AS path FROM range(30) r(k)), first_open AS (SELECT path, min(pid) AS pid FROM opened GROUP BY 1)"
+_FALLBACK_SQL = (
+    "SELECT a.alert_id, a.path, CASE WHEN o.pid IS NULL THEN a.process_name ELSE o.name END AS process_name, CASE WHEN o.pid IS NULL THEN a.process_id ELSE CAST(o.pid AS INTEGER) END AS process_id, CASE WHEN o.pid IS NULL THEN a.username ELSE o.username END AS username, "
+    "CASE WHEN o.pid IS NULL THEN a.process_path ELSE o.exe END AS process_path, CASE WHEN o.pid IS NULL THEN a.attribution_source ELSE 'FALLBACK' END AS attribution_source FROM attributed a LEFT JOIN first_open f ON a.attribution_source = 'UNKNOWN' AND f.path = a.path LEFT JOIN (SELECT DISTINCT * FROM opened) o ON o.path = f.path AND o.pid = f.pid"
+)
 _add(
     "honeytoken_anti_join",
     lambda spark, d: findings.drop_known(correlation.unfolded(fixtures.file_events(spark, d)).select("path").distinct(), fixtures.tokens(spark)),
@@ -397,8 +405,7 @@ _add("sysmon_interval_join", lambda spark, d: _near_log(spark, d).select(*_ATTRI
 _add(
     "process_fallback",
     lambda spark, d: correlation.fall_back(_near_log(spark, d), fixtures.processes(spark)).select(*_ATTRIBUTES),
-    f"WITH {_NEAR_SQL}, {_PROCESSES_SQL} SELECT a.alert_id, a.path, CASE WHEN o.pid IS NULL THEN a.process_name ELSE o.name END AS process_name, CASE WHEN o.pid IS NULL THEN a.process_id ELSE CAST(o.pid AS INTEGER) END AS process_id, CASE WHEN o.pid IS NULL THEN a.username ELSE o.username END AS username, "
-    "CASE WHEN o.pid IS NULL THEN a.process_path ELSE o.exe END AS process_path, CASE WHEN o.pid IS NULL THEN a.attribution_source ELSE 'FALLBACK' END AS attribution_source FROM attributed a LEFT JOIN first_open f ON a.attribution_source = 'UNKNOWN' AND f.path = a.path LEFT JOIN (SELECT DISTINCT * FROM opened) o ON o.path = f.path AND o.pid = f.pid",
+    f"WITH {_NEAR_SQL}, {_PROCESSES_SQL} {_FALLBACK_SQL}",
 )
 _add(
     "latest_n_events",
@@ -412,6 +419,74 @@ _add(
 )
 
 
+# --- what is stored, and what is read back --------------------------------------------------------------------------
+
+_add(
+    "findings_stored",
+    _docs_query(lambda docs: findings.to_findings(detect.detect_regex(docs, ["doc_id", "path"], path="path"), path="path", ordinal=["doc_id"]).drop("timestamp")),
+    f"WITH {S.DOCS}, {_REGEX_SQL}, found AS (SELECT {_RESULT_SQL}, path FROM kept UNION ALL SELECT {_RESULT_SQL}, raw_value AS path FROM ({_PATH_FINDINGS})) "
+    f"SELECT {S.finding_id()} AS event_id, {S.severity('category')} AS severity, '{findings.EVENT_TYPE}' AS event_type, '{findings.SOURCE}' AS source, CAST(NULL AS VARCHAR) AS raw_extract, CAST(NULL AS VARCHAR) AS vault_ref, path AS file_path, detector, entity_type, "
+    f"{S.mask('raw_value')} AS masked_value, context, least(100, greatest(0, confidence_score)) / 100.0::DOUBLE AS confidence, CAST(NULL AS INTEGER) AS line_number, requires_validation AS validated FROM found",
+)
+
+
+def _stored_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return correlation.to_alerts(correlation.fall_back(_near_log(spark, d), fixtures.processes(spark)))
+
+
+_add(
+    "alerts_stored",
+    _stored_alerts,
+    f"WITH {_NEAR_SQL}, {_PROCESSES_SQL}, told AS ({_FALLBACK_SQL}) SELECT sha256(concat_ws(chr(31), t.path, t.token_id, t.event_type, CAST(epoch_us(t.event_time) AS VARCHAR), t.alert_id)) AS event_id, t.event_time AS timestamp, 'CRITICAL' AS severity, t.event_type, 'honeycomb' AS source, "
+    "CAST(NULL AS VARCHAR) AS raw_extract, CAST(NULL AS VARCHAR) AS vault_ref, t.path AS honeytoken_path, t.token_id, t.token_type, t.incident_type, 1.0::DOUBLE AS confidence, process_name, process_id, username, process_path, attribution_source FROM alerts t JOIN told USING (alert_id)",
+)
+
+
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    """One token for each document, through the encrypted manifest."""
+    from veilscan.plans import folders
+    from veilscan.sources import tokens
+
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    made = docs.select(F.concat(F.lit("/home/u/"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("token_id"), F.col("source").alias("token_type"), F.lit(None).cast("timestamp").alias("deployed_at"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    path = folders.shared_path(spark, "manifest")
+    tokens.write_manifest(made, path, "key of the demonstration")
+    return tokens.read_manifest(spark, path, "key of the demonstration").drop("deployed_at")
+
+
+_add("manifest_round_trip", _manifest, "SELECT '/home/u/' || doc_id AS path, 't' || doc_id AS token_id, source AS token_type, sha256(coalesce(text, '')) AS content_hash FROM documents")
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """A log entry in XML for each event, read back."""
+    from veilscan.sources import sysmon
+
+    events = spread(spark.read.parquet(f"{d}/events.parquet"))
+    data = lambda name, value: F.concat(F.lit(f'<Data Name="{name}">'), value, F.lit("</Data>"))
+    number = F.col("event_id").cast("string")
+    xml = F.concat(
+        F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><EventID>'),
+        number,
+        F.lit('</EventID><TimeCreated SystemTime="'),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        F.lit('Z"/></System><EventData>'),
+        data("TargetFilename", F.concat(F.lit("/home/u/"), number, F.lit("&amp;.txt"))),
+        data("CommandLine", F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("cat "), number))),
+        data("Image", F.lit("/usr/bin/cat")),
+        data("ProcessId", F.when(F.col("event_id") % 5 == 0, F.lit("none")).otherwise(number)),
+        F.lit("</EventData></Event>"),
+    )
+    return sysmon.parse_events(events.select(xml.alias("xml")))
+
+
+_add(
+    "log_events",
+    _log,
+    "SELECT CAST(ts AS TIMESTAMP) AS system_time, CAST(event_id AS INTEGER) AS event_id, '/home/u/' || event_id || '&.txt' AS target_filename, CASE WHEN event_id % 3 <> 0 THEN 'cat ' || event_id END AS command_line, '/usr/bin/cat' AS image, "
+    "CASE WHEN event_id % 5 <> 0 THEN CAST(event_id AS INTEGER) END AS process_id, CAST(NULL AS VARCHAR) AS \"user\" FROM events",
+)
+
+
 # --- sources, sinks and streams: rows only -----------------------------------------------------------------------
 
 
@@ -454,9 +529,9 @@ def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("file_walk", _walked)
 _add("file_scan", _scanned)
 _add("sqlite_scan", _sqlite)
-_add("gzip_decode", _gzipped)
+_add("gzip_decode", _gzipped, f"WITH texts AS (SELECT doc_id, text AS variant FROM documents) SELECT doc_id, variant FROM texts WHERE {_READABLE}")
 _add("streaming_alerts", _streamed)
-_add("honeytoken_generator", _synthetic)
+_add("honeytoken_generator", _synthetic, S.synthetic_tokens(1000, 1))
 
 
 def queries() -> dict[str, Query]:

@@ -54,6 +54,8 @@ PLANTED = (
     "\nrot13: cnffjbeq = uhagre2\n",
     "\nsecret_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY\n",
     "\nsee https://example.com/Abcdefgh123456789 and Chunk9aB3dE5fG7hJ9k.js build\n",
+    "\nnear Abcdefgh1234 5678X.js api_key = Abcdefgh12345678X\n",
+    "\napi_key = Zx9Kq3LmT7vBn2RwYp5HsDf8GjCe4UaWoXi6 .png\n",
 )
 
 
@@ -63,8 +65,8 @@ def pick(values: tuple[str, ...], number: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with a planted match, path."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null"))
-    return docs.select("doc_id", F.concat("text", pick(PLANTED, F.col("doc_id"))).alias("text"), pick(PATHS, F.floor(F.col("doc_id") / 7)).alias("path"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), pick(PLANTED, F.col("doc_id"))).alias("text"), pick(PATHS, F.floor(F.col("doc_id") / 7)).alias("path"))
 
 
 #: File names for the policy, by number modulo their count; ``{}`` is the number.

@@ -7,11 +7,15 @@ import json
 import os
 import sqlite3
 import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.operators import detect
+from veilscan.operators.layout import spread
 from veilscan.plans import fixtures
 from veilscan.sinks.store import Bus, Store
 from veilscan.sources import files, tokens
@@ -27,6 +31,15 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return tempfile.mkdtemp(prefix=f"veilscan-{kind}-", dir=base)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new place in the folder that driver and executors share, for Spark's own writers and readers."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors have no folder to share")
+    shared = shared or f"file://{tempfile.mkdtemp(prefix='veilscan-')}"
+    return f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def made_folder(spark: SparkSession) -> str:
     """A home folder with files to scan, to leave out, and to read as a database."""
     home = new_folder(spark, "home")
@@ -80,9 +93,15 @@ def sqlite_cells(spark: SparkSession) -> DataFrame:
 
 
 def gzip_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = F.udf(lambda t: b"head" + gzip.compress(t.encode(), mtime=0), "binary")
-    docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null")
-    return files.gzip_variants(docs.select("item_id", packed("text").alias("data")), "item_id", "data")
+    """Every document packed behind a few other bytes, and found again."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [b"head" + gzip.compress(t.encode(), 1, mtime=0) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "data"])
+
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null"))
+    return files.gzip_variants(docs.mapInArrow(pack, "doc_id long, data binary"), "doc_id", "data")
 
 
 def streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001

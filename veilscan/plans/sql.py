@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from veilscan import rules as R
 from veilscan.plans import fixtures
+from veilscan.sources import tokens
 
 
 def quoted(text: str) -> str:
@@ -23,7 +24,7 @@ def picked(values, number: str) -> str:
     return f"({listed(values)})[(({number}) % {len(values)}) + 1]"
 
 
-DOCS = f"docs AS (SELECT doc_id, text || {picked(fixtures.PLANTED, 'doc_id')} AS text, {picked(fixtures.PATHS, 'doc_id // 7')} AS path FROM documents WHERE text IS NOT NULL)"
+DOCS = f"docs AS (SELECT doc_id, coalesce(text, '') || {picked(fixtures.PLANTED, 'doc_id')} AS text, {picked(fixtures.PATHS, 'doc_id // 7')} AS path FROM documents)"
 
 
 def folded(text: str) -> str:
@@ -234,12 +235,17 @@ def charset(token: str) -> str:
     return f"(CASE WHEN regexp_matches({token}, '^{R.HEX_TOKEN}$') THEN 'hex' WHEN regexp_matches({token}, '^{R.BASE64_TOKEN}$') THEN 'base64' ELSE 'alphanumeric' END)"
 
 
+def is_beside_asset(token: str, context: str) -> str:
+    low, space, asset = f"lower({token})", "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+", "(" + "|".join(e.replace(".", "\\.") for e in R.ASSET_EXTENSIONS) + ")"
+    behind, ahead = f"regexp_replace(lower({context}), '{space}{asset}', '\\1', 'g')", f"regexp_replace(lower({context}), '{asset}{space}', '\\1', 'g')"
+    return "(" + " OR ".join(f"contains({behind}, {low} || '{e}') OR contains({ahead}, '{e}' || {low})" for e in R.ASSET_EXTENSIONS) + ")"
+
+
 def is_build_artifact(token: str, context: str) -> str:
-    low, squeezed = f"lower({token})", f"regexp_replace(lower({context}), '[\\s\\x1c-\\x1f]+', '', 'g')"
+    low = f"lower({token})"
     asset = " OR ".join(f"contains({low}, '{e}')" for e in R.ASSET_EXTENSIONS)
-    beside = " OR ".join(f"contains({squeezed}, {low} || '{e}') OR contains({squeezed}, '{e}' || {low})" for e in R.ASSET_EXTENSIONS)
     hint = " OR ".join(f"contains(lower({context}), '{h}')" for h in R.BUILD_HINTS)
-    return f"({asset} OR {beside} OR (({hint}) AND regexp_full_match({token}, '{R.GENERATED_ID}')))"
+    return f"({asset} OR {is_beside_asset(token, context)} OR (({hint}) AND regexp_full_match({token}, '{R.GENERATED_ID}')))"
 
 
 def entropy_findings(source: str = "docs") -> str:
@@ -254,3 +260,21 @@ def entropy_findings(source: str = "docs") -> str:
         f"firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, clean ORDER BY start) AS k FROM weighed WHERE total >= {R.PUBLISH_SCORE}), "
         f"random AS (SELECT doc_id, path, 'entropy' AS detector, CAST(NULL AS INTEGER) AS rule_idx, CAST(NULL AS VARCHAR) AS rule_name, 'HIGH_ENTROPY_SECRET' AS entity_type, '{R.HIGH}' AS category, clean AS raw_value, near AS context, CAST(total AS INTEGER) AS confidence_score, false AS requires_validation, start, stop FROM firsts WHERE k = 1)"
     )
+
+
+def finding_id() -> str:
+    """The digest that names a finding of a document (doc_id, path and the columns of a result)."""
+    parts = ["path", "detector", "coalesce(rule_name, '')", "entity_type", "raw_value", *(f"coalesce(CAST({c} AS VARCHAR), '')" for c in ("start", "stop", "doc_id"))]
+    return f"sha256(concat_ws(chr(31), {', '.join(parts)}))"
+
+
+def synthetic_tokens(n: int, seed: int) -> str:
+    """The templates of honeytokens filled from digests."""
+    cases = []
+    for i, kind in enumerate(tokens.TEMPLATES):
+        parts = [
+            f"translate(left(sha256('{seed}/{kind}/' || CAST(token_no AS VARCHAR) || '/{k}'), {x[1]}), '{tokens.HEX}', '{x[0]}')" if isinstance(x, tuple) else quoted(x) for k, x in enumerate(tokens.pieces(kind))
+        ]
+        cases.append(f"WHEN {i} THEN {' || '.join(parts)}")
+    kinds = len(tokens.TEMPLATES)
+    return f"SELECT token_no, ({listed(tokens.TEMPLATES)})[token_no % {kinds} + 1] AS token_type, CASE token_no % {kinds} {' '.join(cases)} END AS content FROM range({n}) AS t(token_no)"

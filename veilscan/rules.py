@@ -13,7 +13,9 @@ HIGH, MEDIUM = "HIGH_SENSITIVE", "MEDIUM_SENSITIVE"
 
 @dataclass(frozen=True)
 class Rule:
-    """A candidate pattern.  ``guard`` is a cheap pattern that any text with a match also has.
+    """A candidate pattern.  ``guard`` is a cheap pattern that any text with a match also has; alternatives without
+    special characters are looked for as plain strings.  ``digits`` says that any match holds :data:`FOUR_DIGITS`, which
+    is tested once for all such rules.
 
     ``validator`` is the name of one of this library's or, for rules of one's own, a function from a Column of
     matched values to a boolean Column.
@@ -27,16 +29,19 @@ class Rule:
     validator: str | Callable | None = None
     strong: bool = False
     guard: str | None = None
+    digits: bool = False
 
 
+FOUR_DIGITS = r"\d[ \-]?\d[ \-]?\d[ \-]?\d"
+
 #: In order; the position decides ties.
 RULES: tuple[Rule, ...] = (
     Rule("password_in_config", "PASSWORD", r"(?i)(password|passwd|pwd|secret)\s*[:=]\s*\S+", HIGH, ("password", "secret", "pwd"), guard=r"(?i)passw|pwd|secret"),
-    Rule("bank_account", "BANK_ACCOUNT", r"\b\d{9,18}\b", HIGH, ("account", "bank", "beneficiary", "ifsc", "branch"), guard=r"\d{9}"),
-    Rule("credit_card", "CREDIT_CARD", r"\b(?:\d[ \-]?){13,16}\b", HIGH, ("card", "visa", "mastercard", "amex", "cvv", "payment", "debit", "credit"), "luhn", guard=r"\d[ \-]?\d[ \-]?\d[ \-]?\d"),
+    Rule("bank_account", "BANK_ACCOUNT", r"\b\d{9,18}\b", HIGH, ("account", "bank", "beneficiary", "ifsc", "branch"), guard=r"\d{9}", digits=True),
+    Rule("credit_card", "CREDIT_CARD", r"\b(?:\d[ \-]?){13,16}\b", HIGH, ("card", "visa", "mastercard", "amex", "cvv", "payment", "debit", "credit"), "luhn", guard=r"\d(?:[ \-]?\d){12}", digits=True),
     Rule("upi_id", "UPI_ID", r"(?i)\b[a-zA-Z0-9.\-_]{2,256}@(oksbi|okhdfcbank|okicici|okaxis|ybl|ibl|paytm|axl)\b", HIGH, ("upi", "vpa", "pay", "bhim", "gpay", "phonepe"), "upi", guard="@"),
-    Rule("aadhaar_number", "AADHAAR", r"[2-9]\d{3}\s?\d{4}\s?\d{4}", HIGH, ("aadhaar", "uidai", "aadhar"), "verhoeff", guard=r"\d{4}\s?\d{4}"),
-    Rule("passport_india", "PASSPORT", r"[A-PR-WY][1-9]\d{7}", HIGH, ("passport", "travel", "visa"), guard=r"\d{8}"),
+    Rule("aadhaar_number", "AADHAAR", r"[2-9]\d{3}\s?\d{4}\s?\d{4}", HIGH, ("aadhaar", "uidai", "aadhar"), "verhoeff", guard=r"\d{4}\s?\d{4}", digits=True),
+    Rule("passport_india", "PASSPORT", r"[A-PR-WY][1-9]\d{7}", HIGH, ("passport", "travel", "visa"), guard=r"\d{8}", digits=True),
     Rule("aws_access_key", "AWS_ACCESS_KEY", r"\bAKIA[0-9A-Z]{16}\b", HIGH, ("aws", "amazon", "access", "key"), "aws", True, "AKIA"),
     Rule("google_api_key", "GOOGLE_API_KEY", r"\bAIza[0-9A-Za-z_-]{35}\b", HIGH, ("google", "api", "key"), "google", True, "AIza"),
     Rule("github_token", "GITHUB_TOKEN", r"\b(?:ghp_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{20,})\b", HIGH, ("github", "gh", "token", "pat"), "github", True, "ghp_|github_pat_"),
@@ -46,12 +51,12 @@ RULES: tuple[Rule, ...] = (
     Rule("ssh_private_key", "SSH_PRIVATE_KEY", r"-----BEGIN [^\n]{0,10}PRIVATE KEY-----", HIGH, (), "ssh", True, "-----BEGIN "),
     Rule("recovery_code", "RECOVERY_CODE", r"\b[A-Z0-9]{4}-[A-Z0-9]{4}-[A-Z0-9]{4}\b", HIGH, ("recovery", "backup", "mfa", "2fa"), guard=r"[A-Z0-9]-[A-Z0-9]"),
     Rule("email_address", "EMAIL", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", MEDIUM, ("email", "mail", "contact"), guard="@"),
-    Rule("indian_phone", "PHONE_NUMBER", r"(\+91|0)?[6-9]\d{9}", MEDIUM, ("phone", "mobile", "contact", "call"), guard=r"\d{10}"),
-    Rule("pan_card", "PAN_CARD", r"[A-Z]{5}[0-9]{4}[A-Z]", MEDIUM, ("pan", "income tax"), "pan", guard=r"[A-Z][0-9]{4}[A-Z]"),
+    Rule("indian_phone", "PHONE_NUMBER", r"(\+91|0)?[6-9]\d{9}", MEDIUM, ("phone", "mobile", "contact", "call"), guard=r"\d{10}", digits=True),
+    Rule("pan_card", "PAN_CARD", r"[A-Z]{5}[0-9]{4}[A-Z]", MEDIUM, ("pan", "income tax"), "pan", guard=r"[A-Z][0-9]{4}[A-Z]", digits=True),
     Rule("ifsc_code", "IFSC_CODE", r"[A-Z]{4}0[A-Z0-9]{6}", MEDIUM, ("ifsc", "bank", "branch"), guard=r"[A-Z]{4}0"),
-    Rule("driving_licence", "DRIVING_LICENCE", r"[A-Z]{2}[0-9]{2}[A-Z]{2}[0-9]{11}", MEDIUM, ("driving", "licence", "dl", "rto"), guard=r"[0-9]{11}"),
-    Rule("voter_id", "VOTER_ID", r"[A-Z]{3}[0-9]{7}", MEDIUM, ("voter", "epic", "election"), guard=r"[A-Z][0-9]{7}"),
-    Rule("vehicle_registration", "VEHICLE_REGISTRATION", r"[A-Z]{2}[0-9]{2}[A-Z]{1,2}[0-9]{4}", MEDIUM, ("vehicle", "rc", "registration", "car", "bike"), guard=r"[A-Z][0-9]{4}"),
+    Rule("driving_licence", "DRIVING_LICENCE", r"[A-Z]{2}[0-9]{2}[A-Z]{2}[0-9]{11}", MEDIUM, ("driving", "licence", "dl", "rto"), guard=r"[0-9]{11}", digits=True),
+    Rule("voter_id", "VOTER_ID", r"[A-Z]{3}[0-9]{7}", MEDIUM, ("voter", "epic", "election"), guard=r"[A-Z][0-9]{7}", digits=True),
+    Rule("vehicle_registration", "VEHICLE_REGISTRATION", r"[A-Z]{2}[0-9]{2}[A-Z]{1,2}[0-9]{4}", MEDIUM, ("vehicle", "rc", "registration", "car", "bike"), guard=r"[A-Z][0-9]{4}", digits=True),
 )
 
 #: Files that hold credentials by their path: (pattern, entity); the first that is found counts.
@@ -154,14 +159,44 @@ SCANNED_EXTENSIONS = (".txt", ".env", ".json", ".yaml", ".yml", ".config", ".sql
 OWN_HOME = ".veilscan"
 EXCLUDED_COMPONENTS = ("node_modules", ".git", ".cache", ".next", ".turbo", ".venv", "venv", "pycache", "__pycache__", "dist", "build", "out", "coverage", "vendor", OWN_HOME)
 EXCLUDED_FILES = (
-    "events.db", "events.db-journal", "events.db-shm", "events.db-wal",
-    "findings.db", "findings.db-journal", "findings.db-shm", "findings.db-wal",
-    "scanner.db", "scanner.db-journal", "scanner.db-shm", "scanner.db-wal",
-    "honeycomb_manifest.enc", "honeycomb_manifest.json", "manifest.enc", "build-manifest.json", "next-font-manifest.json",
-    "nls.keys.json", "nls.messages.json", "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock",
-    "telemetry-core.json", "thirdpartynotices.txt", "desktop.ini", "thumbs.db",
-)
-EXCLUDED_APPS = tuple(f"{name}.app" for name in ("android studio", "chrome", "cursor", "firefox", "google chrome", "safari", "visual studio code", "xcode"))
+    "build-manifest.json",
+    "desktop.ini",
+    "events.db",
+    "events.db-journal",
+    "events.db-shm",
+    "events.db-wal",
+    "findings.db",
+    "findings.db-journal",
+    "findings.db-shm",
+    "findings.db-wal",
+    "honeycomb_manifest.enc",
+    "honeycomb_manifest.json",
+    "manifest.enc",
+    "next-font-manifest.json",
+    "nls.keys.json",
+    "nls.messages.json",
+    "package-lock.json",
+    "pnpm-lock.yaml",
+    "scanner.db",
+    "scanner.db-journal",
+    "scanner.db-shm",
+    "scanner.db-wal",
+    "telemetry-core.json",
+    "thirdpartynotices.txt",
+    "thumbs.db",
+    "yarn.lock",
+    "package.json",
+)
+EXCLUDED_APPS = (
+    "android studio.app",
+    "chrome.app",
+    "cursor.app",
+    "firefox.app",
+    "google chrome.app",
+    "safari.app",
+    "visual studio code.app",
+    "xcode.app",
+)
 EXCLUDED_PATH_PARTS = (
     "c:/windows", "c:/program files", "c:/program files (x86)", "c:/programdata", "c:/programdata/microsoft", "c:/$recycle.bin",
     "appdata/local/temp", "appdata/roaming/code", "appdata/local/google", ".local/share/opencode", ".config/opencode",
@@ -171,11 +206,19 @@ EXCLUDED_PATH_PARTS = (
 DISTRIBUTION_EXTENSIONS = (".app", ".dmg", ".pkg")
 OWN_TABLES = ("findings", "honeycomb_alerts")
 
-#: File kinds by their first bytes (hexadecimal), in order; ``zip`` is told apart by the extension.
+#: File kinds by their first bytes, in order; ``zip`` is told apart by the extension.
 MAGICS = (
-    ("4D5A", "SKIP"), ("25504446", "pdf_parser"), ("504B0304", "zip"), ("53514C69", "sqlite_parser"), ("FFD8FF", "exif_parser"),
-    ("89504E47", "exif_parser"), ("52617221", "archive_parser"), ("377ABCAF", "archive_parser"), ("1F8B", "archive_parser"), ("2D2D2D2D2D424547", "text_parser"),
-)
+    (b"\x4D\x5A", "SKIP"),
+    (b"\x25\x50\x44\x46", "pdf_parser"),
+    (b"\x50\x4B\x03\x04", "zip"),
+    (b"\x53\x51\x4C\x69", "sqlite_parser"),
+    (b"\xFF\xD8\xFF", "exif_parser"),
+    (b"\x89\x50\x4E\x47", "exif_parser"),
+    (b"\x52\x61\x72\x21", "archive_parser"),
+    (b"\x37\x7A\xBC\xAF", "archive_parser"),
+    (b"\x1F\x8B", "archive_parser"),
+    (b"-----BEG", "text_parser"),
+)
 OFFICE_EXTENSIONS = (".docx", ".xlsx", ".pptx")
 CONTROL_SHARE = 0.3
 

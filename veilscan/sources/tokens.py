@@ -1,16 +1,14 @@
 """Honeytokens: made-up secrets, the manifest that knows them, and writing them out.
 
-All of it is made from a seed, so the same tokens come out every time.
+A kind is a template whose blanks are filled with letters of a digest of seed, kind, number and place, so the same
+tokens come out every time, here, in Spark and in any SQL engine that has SHA-256.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import json
 import os
-import random
-import string
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,62 +17,55 @@ from pyspark.sql import functions as F
 from veilscan import rules as R
 from veilscan.schemas import HONEYTOKENS
 
-_MIXED = string.ascii_letters + string.digits
-
-
-class TokenMaker:
-    def __init__(self, seed: int) -> None:
-        self.random = random.Random(seed)
-
-    def text(self, n: int, letters: str = _MIXED) -> str:
-        return "".join(self.random.choices(letters, k=n))
-
-    def aws_access_key(self) -> str:
-        return "AKIA" + self.text(16, string.ascii_uppercase + string.digits)
-
-    def aws_secret_key(self) -> str:
-        return self.text(40, _MIXED + "/+")
-
-    def github_token(self) -> str:
-        return "ghp_" + self.text(36)
-
-    def api_key(self) -> str:
-        return self.text(32)
-
-    def env_file(self) -> str:
-        pairs = {
-            "AWS_ACCESS_KEY_ID": self.aws_access_key(),
-            "AWS_SECRET_ACCESS_KEY": self.aws_secret_key(),
-            "DATABASE_URL": f"postgresql://admin:{self.text(12)}@localhost:5432/proddb",
-            "STRIPE_SECRET_KEY": f"sk_live_{self.text(24)}",
-            "GITHUB_TOKEN": self.github_token(),
-        }
-        return "".join(f"{k}={v}\n" for k, v in pairs.items())
-
-    def ssh_private_key(self) -> str:
-        body = base64.encodebytes(self.text(120).encode()).decode().replace("\n", "")
-        return "\n".join(["-----BEGIN OPENSSH PRIVATE KEY-----", *(body[i : i + 64] for i in range(0, len(body), 64)), "-----END OPENSSH PRIVATE KEY-----", ""])
-
-    def json_credentials(self) -> str:
-        return json.dumps({"api_key": self.api_key(), "client_secret": self.text(32), "database_password": self.text(16)}, indent=4)
-
-    def config_ini(self) -> str:
-        return f"[credentials]\nusername = admin_{self.text(4)}\npassword = {self.text(16)}\n"
-
-    def mixed_keys(self) -> str:
-        return f"AWS: {self.aws_access_key()}\nGitHub: {self.github_token()}\n"
-
-    def content(self, kind: str) -> str:
-        return {"GENERIC_API_KEY": self.api_key, "ENV_FILE": self.env_file, "SSH_PRIVATE_KEY": self.ssh_private_key, "JSON_CREDENTIALS": self.json_credentials, "MIXED_API_KEYS": self.mixed_keys, "CONFIG_INI": self.config_ini}[kind]()
+HEX = "0123456789abcdef"
+#: Each alphabet has a letter for each hexadecimal digit.  A blank is written <alphabet:length>, of 64 letters at most.
+ALPHABETS = {
+    "upper": "A7C2EFH9KLN4QRTX",
+    "first": "bDfG3jKmPr5tVxZ8",
+    "second": "aCe1HiLn6QsUw9yT",
+}
+#: What a decoy of a kind looks like.
+TEMPLATES = {
+    "AWS_ACCESS_KEY": "AKIA<upper:16>",
+    "GITHUB_TOKEN": "ghp_<first:18><second:18>",
+    "STRIPE_KEY": "sk_live_<first:14><second:14>",
+    "GENERIC_API_KEY": "export service\n  api key: <first:24><second:20>\n  ask the data team before use\n",
+    "ENV_FILE": "# staging, do not commit\nAPP_SECRET=<first:22><second:22>\nMAIL_PASSWORD=<second:9><first:9>\nPAYMENT_KEY=sk_live_<first:14><second:14>\nCLOUD_KEY=AKIA<upper:16>\n",
+    "SSH_PRIVATE_KEY": "-----BEGIN OPENSSH PRIVATE KEY-----\n<first:35><second:35>\n<second:35><first:35>\n<first:20><second:21>=\n-----END OPENSSH PRIVATE KEY-----\n",
+    "JSON_CREDENTIALS": '{"service": "ledger", "login": "svc-<second:6>", "password": "<first:11><second:11>", "token": "ghp_<first:18><second:18>"}\n',
+    "MIXED_API_KEYS": "forge   ghp_<first:18><second:18>\nmodels  sk-<first:16><second:16>\ncloud   AKIA<upper:16>\n",
+    "CONFIG_INI": "[replica]\nhost = 10.0.0.7\nuser = reader\npassword = <first:10><second:10>\n",
+}
+_BLANK = re.compile(r"<(\w+):(\d+)>")
+
+
+def pieces(kind: str) -> list[str | tuple[str, int]]:
+    """A kind's template cut into its texts and blanks (alphabet, length)."""
+    out: list[str | tuple[str, int]] = []
+    at = 0
+    for m in _BLANK.finditer(TEMPLATES[kind]):
+        out += [TEMPLATES[kind][at : m.start()], (ALPHABETS[m[1]], int(m[2]))]
+        at = m.end()
+    return [x for x in [*out, TEMPLATES[kind][at:]] if x]
+
+
+def content(kind: str, seed: int, number: int) -> str:
+    def filled(place: int, piece: str | tuple[str, int]) -> str:
+        if isinstance(piece, str):
+            return piece
+        digest = hashlib.sha256(f"{seed}/{kind}/{number}/{place}".encode()).hexdigest()
+        return digest[: piece[1]].translate(str.maketrans(HEX, piece[0]))
+
+    return "".join(filled(k, x) for k, x in enumerate(pieces(kind)))
 
 
 def make_tokens(home: str, seed: int) -> list[dict]:
     """The deployments with content, id and digest."""
     out = []
     for k, (place, kind) in enumerate(R.DEPLOYMENTS):
-        content = TokenMaker(seed * 1000 + k).content(kind)
-        digest = hashlib.sha256(content.encode()).hexdigest()
-        out.append({"path": f"{home.rstrip('/')}/{place}", "token_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{seed}/{place}/{digest}")), "token_type": kind, "content": content, "content_hash": digest})
+        text = content(kind, seed, k)
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        out.append({"path": f"{home.rstrip('/')}/{place}", "token_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{seed}/{place}/{digest}")), "token_type": kind, "content": text, "content_hash": digest})
     return out
 
 
@@ -118,16 +109,17 @@ def read_manifest(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def synthetic_tokens(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """Secrets of all kinds as a table (token_no, token_type, content), made inside the JVM for any ``n``."""
-    letters = lambda salt, k: F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat_ws("/", F.lit(str(seed)), F.lit(salt), F.col("id").cast("string")), 512))), "+/=\r\n", "ab"), 1, k)
-    kinds = {
-        "AWS_ACCESS_KEY": F.concat(F.lit("AKIA"), F.upper(letters("aws", 16))),
-        "GITHUB_TOKEN": F.concat(F.lit("ghp_"), letters("github", 36)),
-        "GENERIC_API_KEY": letters("api", 32),
-        "STRIPE_KEY": F.concat(F.lit("sk_live_"), letters("stripe", 24)),
-    }
-    names = list(kinds)
-    chain = F.when(F.col("id") % len(names) == 0, kinds[names[0]])
-    for i, name in enumerate(names[1:], 1):
-        chain = chain.when(F.col("id") % len(names) == i, kinds[name])
-    return spark.range(n).select(F.col("id").alias("token_no"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names)).cast("int") + 1).alias("token_type"), chain.alias("content"))
+    """Secrets of all kinds in turn as a table (token_no, token_type, content), made inside the JVM for any ``n``."""
+
+    def filled(kind: str, place: int, piece: str | tuple[str, int]) -> F.Column:
+        if isinstance(piece, str):
+            return F.lit(piece)
+        digest = F.sha2(F.concat(F.lit(f"{seed}/{kind}/"), F.col("id").cast("string"), F.lit(f"/{place}")), 256)
+        return F.translate(F.left(digest, F.lit(piece[1])), HEX, piece[0])
+
+    names = list(TEMPLATES)
+    turn = (F.col("id") % len(names)).cast("int")
+    text = F.lit(None).cast("string")
+    for i, kind in enumerate(names):
+        text = F.when(turn == i, F.concat(*(filled(kind, k, x) for k, x in enumerate(pieces(kind))))).otherwise(text)
+    return spark.range(n).select(F.col("id").alias("token_no"), F.element_at(F.array(*map(F.lit, names)), turn + 1).alias("token_type"), text.alias("content"))
