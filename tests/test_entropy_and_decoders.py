@@ -20,6 +20,18 @@ def test_entropy_findings(spark):
     assert [(r["id"], r["raw_value"], r["confidence_score"]) for r in found] == [(0, "Zx9Kq3LmT7vBn2RwYp5HsDf8GjCe4UaWoXi6", 60)]
 
 
+def test_assets_beside_a_token(spark):
+    token = "Abcdefgh12345678X"
+    cases = {
+        f"{token}.js": True, f"{token} \t.PNG": True, f".css {token}": True, f"a.map\u00a0\n{token}": True, f"{token.upper()} .svg": True,
+        f"Abcdefgh1234 5678X.js key = {token}": False, f"{token} x.js": False, f"{token}js": False, f".js x {token}": False, token: False,
+    }
+    rows = spark.createDataFrame([(token, c) for c in cases], "t string, c string").select("c", entropy.is_beside_asset(F.col("t"), F.col("c")).alias("x")).collect()
+    assert {r["c"]: r["x"] for r in rows} == cases
+    extensions = "|".join(re.escape(e) for e in (".js", ".css", ".woff", ".woff2", ".png", ".jpg", ".jpeg", ".svg", ".map"))
+    assert all(bool(re.search(rf"(?i){token}\s*(?:{extensions})|(?:{extensions})\s*{token}", c)) == x for c, x in cases.items())
+
+
 def test_a_token_is_reported_once(spark):
     line = "api_key = Zx9Kq3LmT7vBn2RwYp5HsDf8GjCe4UaWoXi6\n"
     df = spark.createDataFrame([(0, line * 3)], "id int, text string")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import gzip
+import itertools
 import json
 import os
 from datetime import datetime
@@ -117,9 +119,14 @@ def test_manifest_round_trip(spark, tmp_path):
 def test_synthetic_tokens_are_found(spark):
     from veilscan.operators import detect
 
-    made = tokens.synthetic_tokens(spark, 40)
-    found = detect.detect_regex(made, ["token_no", "token_type"], content="content").groupBy("token_type").count().collect()
-    assert {r["token_type"]: r["count"] for r in found} == {"AWS_ACCESS_KEY": 10, "GITHUB_TOKEN": 10, "STRIPE_KEY": 10}
+    made = tokens.synthetic_tokens(spark, 90, seed=3)
+    rows = made.collect()
+    assert {r["token_type"] for r in rows} == set(tokens.TEMPLATES)
+    assert all(r["content"] == tokens.content(r["token_type"], 3, r["token_no"]) for r in rows)
+    found = detect.detect_regex(made, ["token_no", "token_type"], content="content", path=None)
+    by_kind = {r["token_type"]: r["n"] for r in found.groupBy("token_type").agg(F.countDistinct("token_no").alias("n")).collect()}
+    expected = ("AWS_ACCESS_KEY", "GITHUB_TOKEN", "STRIPE_KEY", "ENV_FILE", "SSH_PRIVATE_KEY", "JSON_CREDENTIALS", "MIXED_API_KEYS", "CONFIG_INI")
+    assert {k: by_kind.get(k) for k in expected} == dict.fromkeys(expected, 10)
 
 
 def test_stream_of_alerts_is_idempotent(spark, tmp_path):
@@ -137,6 +144,74 @@ def test_stream_of_alerts_is_idempotent(spark, tmp_path):
     assert told == [2, 2]
 
 
+def test_each_event_is_an_alert_of_its_own(spark, tmp_path):
+    made = tokens.make_tokens("/h", 3)
+    (tmp_path / "in").mkdir()
+    event = {"event_time": "2024-01-01T00:00:00", "kind": "modified", "src_path": made[0]["path"], "is_directory": False}
+    rows = [event, event, event | {"event_id": "a"}, event | {"event_id": "b"}, event | {"event_id": "a"}]
+    (tmp_path / "in/a.json").write_text("\n".join(map(json.dumps, rows)))
+    store = Store(spark, str(tmp_path / "store"))
+    for checkpoint in ("c1", "c2"):
+        alerts.start(alerts.file_events(spark, str(tmp_path / "in")), tokens.manifest(spark, made), store, Bus(), str(tmp_path / checkpoint), available_now=True).awaitTermination()
+    assert store.read("honeycomb_alerts").count() == 4  # two without an id, a and b
+
+
+def test_store_adds_rows_once_and_reads_only_folders_of_the_batch(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    made = spark.range(400).select(F.sha2(F.col("id").cast("string"), 256).alias("event_id"), F.lit("x").alias("detector"))
+    assert store.append("findings", made).count() == 400 and store.append("findings", made.limit(20)).count() == 0
+    more = made.limit(3).unionAll(spark.createDataFrame([("00" + "e" * 62, "y"), ("1e" + "0" * 62, "y")], "event_id string, detector string"))
+    assert {r["detector"] for r in store.append("findings", more).collect()} == {"y"}
+    assert store.read("findings").count() == 402 and store.read("honeycomb_alerts").count() == 0
+    assert len(os.listdir(tmp_path / "s/findings")) > 100
+    broken = tmp_path / "s/honeycomb_alerts/id_digits=x00"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception, match="(?i)parquet"):  # what can't be read is no empty table
+        store.read("honeycomb_alerts").count()
+
+
+@pytest.mark.parametrize("limit", [2_000, 1])
+def test_interval_join_has_the_same_result_with_and_without_named_paths(spark, monkeypatch, limit):
+    monkeypatch.setattr(correlation, "NAMED_PATHS", limit)
+    alert = spark.createDataFrame([(k, _at(k), f"/h/{k % 7}.txt") for k in range(20, 50)], "alert_id long, event_time timestamp, path string")
+    log = spark.createDataFrame([(_at(k + 0.5), 1, f"/h/{k % 5}.txt", f"cat /H/{k % 3}.txt /h/6.txt", f"/b/{k}", k, "u") for k in range(15, 55)], "system_time timestamp, event_id int, target_filename string, command_line string, image string, process_id int, user string")
+    got = {r["alert_id"]: r["process_id"] for r in correlation.nearest_in_time(alert, log).collect()}
+    for k in range(20, 50):
+        near = [n for n in range(15, 55) if abs(n + 0.5 - k) <= 5]
+        target, command = [n for n in near if n % 5 == k % 7], [n for n in near if k % 7 in (n % 3, 6)]
+        assert got[k] == (max(target) if target else min(command) if command else None)
+
+
+def test_pruning_equals_the_policy(spark):
+    """The walker's own test of a path and the policy's column agree."""
+    names = ("a", "node_modules", ".git", "x.app", "Downloads", "s.dmg", "$r", "System Volume Information", "yarn.lock", "google", "chrome", "Chromium", "library", "caches", "code cache", "Windows", "c:", "x.log")
+    paths_ = ["/" + "/".join(p) for n in (1, 2, 3) for p in itertools.product(names, repeat=n)]
+    rows = spark.createDataFrame([(p,) for p in paths_], "p string").select("p", paths.is_excluded(F.col("p")).alias("x")).collect()
+    assert all(files.plain_excluded(r["p"]) == r["x"] for r in rows) and len({r["x"] for r in rows}) == 2
+
+
+def test_deep_folders_are_shared_out(spark, tmp_path, monkeypatch):
+    for i in range(6):
+        deep = tmp_path / "only/way" / f"d{i}" / "e"
+        deep.mkdir(parents=True)
+        (deep / "a.txt").write_text("x")
+        (deep.parent / "b.txt").write_text("x")
+    monkeypatch.setattr(files, "PARTITIONS", 8)
+    reader = files._FilesReader({"roots": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) >= 8 and sorted(row[0] for p in parts for row in reader.read(p)) == sorted(str(p) for p in tmp_path.rglob("*.txt"))
+
+
+def test_gzip_streams_are_unpacked_up_to_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(files.R, "MAX_FILE_BYTES", 1_000)
+    data = b"head" + gzip.compress(b"a" * 5_000_000)
+    df = spark.createDataFrame([(1, data), (2, None)], "id int, data binary")
+    # the limit holds in this process; workers read the rule anew
+    made = files.gzip_variants(df, "id", "data")
+    assert {r["id"] for r in made.collect()} == {1}
+
+
 def test_stream_stream_correlation(spark, tmp_path):
     for name, rows in {"t": [{"event_time": "2024-01-01T00:00:10Z", "path": "/h/a"}], "l": [{"system_time": "2024-01-01T00:00:14Z", "target_filename": "/h/a", "process_id": 1}, {"system_time": "2024-01-01T00:00:16Z", "target_filename": "/h/a", "process_id": 2}]}.items():
         (tmp_path / name).mkdir()
