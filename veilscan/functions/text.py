@@ -21,33 +21,44 @@ def passes(text: Column, guard: str | None) -> Column:
     """Whether the text has what the guard asks for; plain strings are searched for without a pattern."""
     if guard is None:
         return text.isNotNull()
-    parts = guard.split("|")
+    folded = guard.startswith("(?i)")
+    parts = guard.removeprefix("(?i)").split("|")
     if any(set(p) & set(r"\.^$*+?{}[]()") for p in parts):
         return text.rlike(unicode_classes(guard))
+    if folded:  # the long s and the Kelvin sign are s and k to a pattern, but are no capitals
+        odd = [c for c, plain in (("\u017f", "s"), ("\u212a", "k")) if any(plain in p for p in parts)]
+        return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(p)) for p in parts] + [F.contains(text, F.lit(c)) for c in odd])
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts))
 
 
+#: A code point that is no character; matches are set between two of it.
+MARK = "\uffff"
+
+
 def spans(text: Column, pattern: str, guard: str | None = None, keep=None) -> Column:
     """All matches as array<struct<start, end, value>>, offsets in code points.
 
-    There is no function for match positions, so they are running sums over what lies between the matches and the
-    matches themselves, in one pass.  ``guard`` is a cheap test that spares most texts both; ``keep`` filters
-    values within the pass, so that long arrays are never built.
+    There is no function for match positions.  So one pass of the pattern sets marks around the matches, the text is
+    cut at the marks into what lies between the matches and the matches themselves, by turns, and offsets are
+    running sums over these.  A text that has the mark itself is cut by the pattern instead, in two passes.
+    ``guard`` is a cheap test that spares most texts both; ``keep`` filters values within the sums, so that long arrays
+    are never built.
     """
     pattern = unicode_classes(pattern)
+    between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value"))
+    twice = F.flatten(F.transform(F.arrays_zip(between.alias("gap"), found.alias("value")), lambda x: F.array_compact(F.array(x["gap"], x["value"]))))
+    once = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    empty = F.array().cast(_SPANS)
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        value = x["value"]
-        end = start + F.coalesce(F.length(value), F.lit(0))
-        wanted = value.isNotNull() if keep is None else value.isNotNull() & keep(value)
-        out = F.when(wanted, F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).otherwise(state["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        end = state["at"] + F.length(x)
+        wanted = state["match"] if keep is None else state["match"] & keep(x)
+        out = F.when(wanted, F.array_append(state["out"], F.struct(state["at"].alias("start"), end.alias("end"), x.alias("value")))).otherwise(state["out"])
+        return F.struct(end.alias("at"), (~state["match"]).alias("match"), out.alias("out"))
 
-    empty = F.array().cast(_SPANS)
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), empty.alias("out"))
+    walked = F.aggregate(F.when(F.contains(text, F.lit(MARK)), twice).otherwise(once), begin, step, lambda s: s["out"])
     return F.when(passes(text, guard), walked).otherwise(empty)
 
 
