@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -76,3 +77,20 @@ def test_odd_rows(spark, library):
     assert token_counts.count_tokens(empty(spark), PATH).count() == 0
     tables = {r["doc_id"]: r["counts"] for r in token_counts.prefix_tables(odd(spark).where("doc_id in (1, 5)"), PATH).collect()}
     assert tables[1] == [0] and tables[5][-1] == count(library, ODD[4][1])
+
+
+def test_prefixes_of_long_white_space_and_of_special_strings(library, counter):
+    """White space costs no more than other text; a special string that is cut short belongs to what it follows."""
+    for text in ("!<|endoftext|>x", "a <|endoftext|><|endoftext|>", "it's<|endoftext|> !<|endoftext|>", "  \n<|endoftext|>", "<|endoftext|>", "one two three<|endoftext|>< four"):
+        truth = [count(library, text[:i]) for i in range(len(text) + 1)]
+        assert counter.prefix_counts(text) == truth
+        for limit in range(8):
+            assert counter.truncation(text, limit) == max(i for i, n in enumerate(truth) if n <= limit)
+    text = "one" + " " * 30_000 + "two\n" + "\n\t " * 10_000 + "don't" + " " * 5
+    began = time.perf_counter()
+    counts = counter.prefix_counts(text)
+    assert time.perf_counter() - began < 20 and len(counts) == len(text) + 1
+    for i in [0, 1, 3, 4, 5, 100, 30_002, 30_003, 30_004, 30_006, 30_007, 45_001, 60_007, 60_008, 60_011, len(text) - 3, len(text)]:
+        assert counts[i] == count(library, text[:i]), i
+    for limit in (1, 2, 50, counts[-1] - 1, counts[-1]):
+        assert counter.truncation(text, limit) == max(i for i, n in enumerate(counts) if n <= limit)

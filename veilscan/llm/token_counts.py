@@ -37,7 +37,7 @@ _ANY = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 _PLAIN = re.compile(rf"""'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+""")
 
 
-_CHUNK = regex.compile(r"(\s*)(\S*)(?<=.)", regex.DOTALL)
+_CHUNK = regex.compile(r"(\s*+)(\S+)|\s+")
 
 
 class PrefixCounter:
@@ -181,7 +181,7 @@ class PrefixCounter:
     def _chunks(self, part: str) -> Iterator[tuple[str, str]]:
         """White space and what follows it up to the next, one after the other: no word reaches from one chunk into another."""
         for m in _CHUNK.finditer(part):
-            yield m.group(1), m.group(2)
+            yield (m.group(1), m.group(2)) if m.group(2) else (m.group(), "")
 
     def _pieces(self, space: str, solid: str) -> tuple[list[str], list[str]]:
         """The words of a chunk: of its white space, and the rest, to whose first word a last blank belongs."""
@@ -229,10 +229,10 @@ class PrefixCounter:
         base = at = 0
         last = (0, 0, "")  # the chunk that the longest prefix may end in: tokens and characters before it, its text
         for part, special in self._stretches(text or ""):
-            if base >= limit:
-                break
-            if special:
+            if special:  # its beginning may go on with white space or signs before it
                 last = (*last[:2], last[2] + part)
+                if base >= limit:
+                    break
                 base, at = base + 1, at + len(part)
                 continue
             for space, solid in self._chunks(part):
@@ -240,6 +240,9 @@ class PrefixCounter:
                     break
                 last = (base, at, space + solid)
                 base, at = base + self._total(space, solid), at + len(space) + len(solid)
+            else:
+                continue
+            break
         else:
             if base <= limit:
                 return at
