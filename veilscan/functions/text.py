@@ -27,7 +27,8 @@ def passes(text: Column, guard: str | None) -> Column:
         return text.rlike(unicode_classes(guard))
     if folded:  # the long s and the Kelvin sign are s and k to a pattern, but are no capitals
         odd = [c for c, plain in (("\u017f", "s"), ("\u212a", "k")) if any(plain in p for p in parts)]
-        return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(p)) for p in parts] + [F.contains(text, F.lit(c)) for c in odd])
+        any_of = lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in (*parts, *odd)))
+        return text.isNotNull() & F.exists(F.array(F.lower(text)), any_of)  # an array of one, so that the text is lowered once
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts))
 
 
