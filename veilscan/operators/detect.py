@@ -156,6 +156,36 @@ def entropy_findings(content: Column, reputation: Column) -> Column:
     return overlap.keep_greedily(found, _CANDIDATES, lambda k, c: k["raw_value"] == c["raw_value"])
 
 
+def run_counters(df: DataFrame, content: str = "text", path: str | None = None) -> DataFrame:
+    """counter, n: how many matches of rules and how many tokens were looked at, and what came of them, in one pass.
+
+    A token that was accepted in a text is not looked at again in it.
+    """
+    rows = _prepared(df, [], content, path)
+    none = F.array().cast(_CANDIDATES)
+    open_, source = ~paths.is_suppressed(F.col("_path")), ~paths.is_generated_source(F.col("_path"))
+    rows = rows.withColumn("_spans", F.when(open_, rule_spans(F.col("_text"))))
+    rows = rows.withColumn("_valid", F.when(open_, regex_candidates(F.col("_text"), F.col("_reputation"), found=F.col("_spans"))).otherwise(none))
+    rows = rows.withColumn("_own", F.when(open_, path_findings(F.col("_path"), F.col("_reputation"))).otherwise(none))
+    rows = rows.withColumn("_random", F.when(source, entropy_findings(F.col("_text"), F.col("_reputation"))).otherwise(none))
+    clean = F.transform(F.when(source, entropy.tokens(F.col("_text"), all_lengths=True)), lambda t: F.struct(t["start"].alias("start"), entropy.stripped_token(t["value"]).alias("value")))
+    looked_at = F.filter(clean, lambda t: (t["value"] != "") & ~F.exists("_random", lambda r: (r["raw_value"] == t["value"]) & (t["start"] > r["start"])))
+    size = lambda found: F.coalesce(F.sum(F.greatest(F.size(F.coalesce(found, F.array())), F.lit(0))), F.lit(0)).cast("long")
+    counters = {
+        "regex_candidates_checked": size(F.transform("_spans", lambda s: s["rule_idx"])),
+        "regex_validated": size(F.transform(F.filter("_valid", lambda c: c["requires_validation"]), lambda c: c["rule_idx"])),
+        "entropy_candidates_checked": size(F.transform(looked_at, lambda t: t["start"])),
+        "entropy_accepted": size(F.transform("_random", lambda c: c["start"])),
+        "final_findings_published": size(F.transform(F.concat(settled(F.col("_valid")), "_own", "_random"), lambda c: F.lit(1))),
+    }
+    return as_rows(rows.agg(*(n.alias(name) for name, n in counters.items())))
+
+
+def as_rows(counters: DataFrame) -> DataFrame:
+    """One row of counters as rows (counter, n)."""
+    return counters.select(F.explode(F.array(*(F.struct(F.lit(c).alias("counter"), F.col(c).alias("n")) for c in counters.columns))).alias("c")).select("c.*")
+
+
 def path_findings(path: Column, reputation: Column) -> Column:
     """At most one finding for what the path itself says."""
     total = text.score(reputation, regex=True)

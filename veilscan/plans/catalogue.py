@@ -419,6 +419,29 @@ _add(
 )
 
 
+def _run_counters(spark: SparkSession, d: str) -> DataFrame:
+    judged = jobs.outcomes(fixtures.files(spark, d), spark.createDataFrame([("/home/u/.env",), ("/srv/app/config",)], "path string"))
+    return jobs.file_counters(judged).unionAll(detect.run_counters(fixtures.documents(spark, d), path="path"))
+
+
+_OUTCOME_SQL = (
+    "(CASE WHEN path IN ('/home/u/.env', '/srv/app/config') THEN 'files_excluded' WHEN decision = 'excluded' THEN 'files_excluded' WHEN decision <> 'scan' OR length IS NULL OR length > "
+    f"{R.MAX_FILE_BYTES} OR parser NOT IN ('text_parser', 'sqlite_parser') THEN 'files_skipped' ELSE 'files_scanned' END)"
+)
+_CLEAN_SQL = f"trim(p.value, {S.string(R.TOKEN_STRIPPED)})"
+_add(
+    "run_counters",
+    _run_counters,
+    f"WITH {S.DOCS}, {_REGEX_SQL}, {S.entropy_findings()}, {_FILES_SQL}, judged AS (SELECT *, {_DECISION} AS decision, {_PARSER_SQL} AS parser FROM files), outcomes AS (SELECT {_OUTCOME_SQL} AS counter FROM judged) "
+    "SELECT counter, (SELECT count(*) FROM outcomes o WHERE o.counter = c.counter) AS n FROM (VALUES ('files_scanned'), ('files_skipped'), ('files_excluded')) AS c(counter) "
+    f"UNION ALL SELECT 'regex_candidates_checked', count(*) FROM spans JOIN docs USING (doc_id) WHERE NOT {S.is_suppressed('path')} "
+    f"UNION ALL SELECT 'regex_validated', count(*) FROM candidates WHERE requires_validation AND NOT {S.is_suppressed('path')} "
+    f"UNION ALL SELECT 'entropy_candidates_checked', count(*) FROM token_places p JOIN docs d ON d.doc_id = p.doc_id WHERE NOT {S.is_generated('d.path')} AND {_CLEAN_SQL} <> '' "
+    f"AND NOT EXISTS (SELECT 1 FROM random r WHERE r.doc_id = p.doc_id AND r.raw_value = {_CLEAN_SQL} AND p.stop - length(p.value) > r.start) "
+    "UNION ALL SELECT 'entropy_accepted', count(*) FROM random "
+    f"UNION ALL SELECT 'final_findings_published', (SELECT count(*) FROM kept) + (SELECT count(*) FROM ({_PATH_FINDINGS})) + (SELECT count(*) FROM random)",
+)
+
 # --- what is stored, and what is read back --------------------------------------------------------------------------
 
 _add(

@@ -47,6 +47,12 @@ def outcomes(listed: DataFrame, honeytokens: DataFrame | None = None) -> DataFra
     return own.select(*listed.columns, outcome.alias("outcome"), parser.alias("parser"))
 
 
+def file_counters(judged: DataFrame) -> DataFrame:
+    """counter, n: files scanned, skipped and excluded, of files with their outcome."""
+    kinds = {"files_scanned": ["scanned"], "files_skipped": ["unsupported_extension", "unreadable", "too_large", "no_parser"], "files_excluded": ["excluded", "honeytoken"]}
+    return detect.as_rows(judged.agg(*(F.count_if(F.col("outcome").isin(own)).alias(name) for name, own in kinds.items())))
+
+
 def scan(spark: SparkSession, roots: list[str], store: Store | None = None, bus: Bus | None = None, honeytokens: DataFrame | None = None, mode: str = "compat", mask_context: bool = False) -> ScanResult:
     """Scan folders: list, decide, parse, detect, store and publish what is new."""
     listed = outcomes(files.list_files(spark, roots), honeytokens).persist()
