@@ -46,16 +46,19 @@ def nearest_in_time(alerts: DataFrame, sysmon: DataFrame, seconds: int = R.CORRE
     has it; of the former the newest counts, of the latter the oldest.
     """
     slot = lambda c: F.floor(F.unix_micros(c) / (seconds * 1_000_000))
-    log = sysmon.where("system_time is not null").select(slot(F.col("system_time")).alias("_slot"), "system_time", "target_filename", "command_line", "image", F.col("process_id").alias("_pid"), F.col("user").alias("_user"))
+    plain = lambda c: F.coalesce(F.lower(normalized(F.col(c))), F.lit(""))
+    log = sysmon.where("system_time is not null").select(
+        slot(F.col("system_time")).alias("_slot"), "system_time", plain("target_filename").alias("_file"), plain("command_line").alias("_command"), "image", F.col("process_id").alias("_pid"), F.col("user").alias("_user")
+    )
     own = alerts.select("alert_id", "event_time", F.lower(normalized(F.col("path"))).alias("_path"))
     spread = own.withColumn("_slot", F.explode(F.sequence(slot(F.col("event_time")) - 1, slot(F.col("event_time")) + 1)))
-    has = lambda c: F.coalesce(F.contains(F.lower(normalized(F.col(c))), F.col("_path")), F.lit(False))
+    target, command = F.contains("_file", F.col("_path")), F.contains("_command", F.col("_path"))
     touched = own.select("_path").distinct()
     if touched.limit(NAMED_PATHS + 1).count() <= NAMED_PATHS:
-        named = log.join(F.broadcast(touched), has("target_filename") | has("command_line"))
-        met = spread.join(named, ["_slot", "_path"]).withColumn("_target", has("target_filename"))
+        named = log.join(F.broadcast(touched), target | command)
+        met = spread.join(named, ["_slot", "_path"]).withColumn("_target", target)
     else:
-        met = spread.join(log, "_slot").withColumn("_target", has("target_filename")).where(F.col("_target") | has("command_line"))
+        met = spread.join(log, "_slot").withColumn("_target", target).where(F.col("_target") | command)
     # micros, not seconds: the bound is inclusive and exact
     met = met.where(F.abs(F.unix_micros("event_time") - F.unix_micros("system_time")) <= seconds * 1_000_000)
     age = F.when(F.col("_target"), -F.unix_micros("system_time")).otherwise(F.unix_micros("system_time"))
