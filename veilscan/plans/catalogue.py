@@ -510,7 +510,7 @@ _add(
 )
 
 
-# --- sources, sinks and streams: rows only -----------------------------------------------------------------------
+# --- sources, sinks and streams: the SQL states what the made folders and events have to give -----------------------------------------------------------------------
 
 
 def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -549,11 +549,40 @@ def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic_tokens(spark, 1000)
 
 
-_add("file_walk", _walked)
-_add("file_scan", _scanned)
-_add("sqlite_scan", _sqlite)
+# lengths and tables of the files below :func:`folders.made_folder`, without those in pruned folders
+_add(
+    "file_walk",
+    _walked,
+    "SELECT path, CAST(length AS BIGINT) AS length, CAST(table_names AS VARCHAR[]) AS table_names FROM (VALUES ('~/.env', 39, NULL), ('~/notes.txt', 48, NULL), ('~/own.db', 12288, ['findings', 'honeycomb_alerts']), "
+    "('~/people.db', 12288, ['notes', 'people']), ('~/photo.png', 4, NULL), ('~/run.log', 20, NULL), ('~/app/config', 23, NULL), ('~/deep/er/settings.yaml', 47, NULL)) AS t(path, length, table_names)",
+)
+# scores by hand: parts for pattern, validator, keyword, assignment, and the file's reputation
+_add(
+    "file_scan",
+    _scanned,
+    f"SELECT file_path, detector, entity_type, CAST(points AS INTEGER) AS confidence_score FROM (VALUES ('~/.env', 'regex', 'AWS_ACCESS_KEY', {R.REGEX_SCORE + R.VALIDATOR_SCORE + R.KEYWORD_SCORE + R.ASSIGNMENT_SCORE + 25}), "
+    f"('~/notes.txt', 'regex', 'PASSWORD', {R.REGEX_SCORE + R.KEYWORD_SCORE + R.ASSIGNMENT_SCORE}), ('~/notes.txt', 'regex', 'EMAIL', {R.REGEX_SCORE + R.KEYWORD_SCORE + R.ASSIGNMENT_SCORE}), "
+    f"('~/people.db', 'regex', 'PAN_CARD', {R.REGEX_SCORE + R.VALIDATOR_SCORE + R.KEYWORD_SCORE + R.ASSIGNMENT_SCORE}), ('~/people.db', 'regex', 'UPI_ID', {R.REGEX_SCORE + R.VALIDATOR_SCORE + R.KEYWORD_SCORE + R.ASSIGNMENT_SCORE}), "
+    f"('~/people.db', 'regex', 'RECOVERY_CODE', {R.REGEX_SCORE + R.KEYWORD_SCORE + R.ASSIGNMENT_SCORE}), ('~/app/config', 'regex', 'CREDIT_CARD', {R.REGEX_SCORE + R.VALIDATOR_SCORE + R.KEYWORD_SCORE + R.ASSIGNMENT_SCORE + 20}), "
+    f"('~/deep/er/settings.yaml', 'entropy', 'HIGH_ENTROPY_SECRET', {R.ENTROPY_SCORE + R.KEYWORD_SCORE + R.ASSIGNMENT_SCORE})) AS t(file_path, detector, entity_type, points)",
+)
+_add(
+    "sqlite_scan",
+    _sqlite,
+    "SELECT '~/people.db' AS file_path, table_name, CAST(r AS BIGINT) AS row_no, CAST(c AS INTEGER) AS col_no, cell FROM (VALUES ('people', 0, 0, 'Ann'), ('people', 0, 1, 'pan: ABCPE1234F'), ('people', 1, 0, 'Bo'), "
+    "('people', 1, 1, 'upi: alice@ybl'), ('notes', 0, 0, 'backup code: ABCD-1234-EF56')) AS t(table_name, r, c, cell)",
+)
 _add("gzip_decode", _gzipped, f"WITH texts AS (SELECT doc_id, text AS variant FROM documents) SELECT doc_id, variant FROM texts WHERE {_READABLE}")
-_add("streaming_alerts", _streamed)
+# one event on each of the first four deployments, the third of them a move to the sixth
+_PLACES = [(f"/home/u/{place}", kind) for place, kind in R.DEPLOYMENTS]
+_ALERTED = ((0, "modified"), (1, "deleted"), (2, "moved"), (5, "moved_to"), (3, "opened"))
+_add(
+    "streaming_alerts",
+    _streamed,
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{_PLACES[k][0]}', '{event}', '{R.INCIDENTS[event]}', '{_PLACES[k][1]}', 'UNKNOWN')" for k, event in _ALERTED)
+    + ") AS t(honeytoken_path, event_type, incident_type, token_type, attribution_source)",
+)
 _add("honeytoken_generator", _synthetic, S.synthetic_tokens(1000, 1))
 
 
