@@ -4,6 +4,7 @@ import base64
 import codecs
 import math
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -51,6 +52,29 @@ def test_tokens_and_entropy_equal_pythons(spark):
     assert got == {(*e[:4], abs(e[4])) for e in expected}
 
 
+def test_tokens_are_counted_without_those_accepted_before(spark):
+    line = "api_key = Zx9Kq3LmT7vBn2RwYp5HsDf8GjCe4UaWoXi6\n"
+    texts = [line * 3 + "(Zx9Kq3LmT7vBn2RwYp5HsDf8GjCe4UaWoXi6)", "... a.b (c) ?! 'q..' x=.,: \u3000é\x1c<!>", "", None, "Zx9Kq3LmT7vBn2RwYp5HsDf8GjCe4UaWoXi6 " + " pad" * 60 + "\n" + line * 2, "😀.. ..😀 .;" * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    stripped = lambda t: [(m.start(), m.group().strip(".,;()[]{}!<>?'\"")) for m in re.finditer(r"""[^\s"'=:]+""", t or "")]
+    assert [r["n"] or 0 for r in df.select(entropy.token_count(F.col("text")).alias("n")).collect()] == [sum(v != "" for _, v in stripped(t)) for t in texts]
+    firsts = [{r["raw_value"]: r["start"] for r in detect.detect_entropy(df.where(F.col("text") == t), [], content="text").collect()} for t in texts]
+    expected = sum(v != "" and not (v in first and at > first[v]) for t, first in zip(texts, firsts, strict=True) for at, v in stripped(t))
+    counters = {r["counter"]: r["n"] for r in detect.run_counters(df).collect()}
+    assert (counters["entropy_candidates_checked"], counters["entropy_accepted"]) == (expected, sum(map(len, firsts))) and any(firsts)
+
+
+def test_texts_of_very_many_tokens_take_no_square_of_their_number(spark):
+    """Appending one by one copied all tokens before: minutes for a text like this one."""
+    n = 150_000
+    df = spark.createDataFrame([("ab " * n,)], "text string")
+    detect.run_counters(df.limit(0)).collect()  # planning is not measured
+    began = time.perf_counter()
+    assert {r["counter"]: r["n"] for r in detect.run_counters(df).collect()}["entropy_candidates_checked"] == n
+    last = df.select(entropy.tokens(F.col("text"), all_lengths=True).alias("t")).select(F.size("t"), F.element_at("t", -1)["start"]).collect()[0]
+    assert tuple(last) == (n, 3 * n - 3) and time.perf_counter() - began < 60
+
+
 def test_decoders(spark):
     secret = "password = hunter22"
     rows = [base64.b64encode(secret.encode()).decode(), secret.encode().hex(), "password%20%3D%20hunter2 + 100%", "rot13 " + codecs.encode(secret, "rot13"), "nothing here", ""]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilscan import rules as R
 from veilscan.functions.paths import contains_any
-from veilscan.functions.text import spans
+from veilscan.functions.text import spans, unicode_classes
 
 TOKEN = r"[^\s\x1c-\x1f\"'=:]+"
 
@@ -27,6 +27,13 @@ def tokens(text: Column, all_lengths: bool = False) -> Column:
     return spans(text, long, long, lambda v: F.length(stripped_token(v)).between(R.TOKEN_MIN, R.TOKEN_MAX))
 
 
+def token_count(text: Column) -> Column:
+    """How many runs leave something when they are stripped; only their beginnings are looked at, no array of runs is made."""
+    cut = "".join("\\" + c for c in R.TOKEN_STRIPPED if c not in "\"'")
+    one = TOKEN.removesuffix("+")
+    return F.regexp_count(text, F.lit(unicode_classes(f"(?<!{one})[{cut}]*+{one.removesuffix(']')}{cut}]")))
+
+
 def shannon(token: Column) -> Column:
     """Bits per character."""
     n = F.length(token).cast("double")

@@ -34,6 +34,8 @@ def passes(text: Column, guard: str | None) -> Column:
 
 #: A code point that is no character; matches are set between two of it.
 MARK = "\uffff"
+#: Pieces of a text that are walked at once; even, as each chunk begins between two matches.
+CHUNK = 128
 
 
 def spans(text: Column, pattern: str, guard: str | None = None, keep=None) -> Column:
@@ -43,7 +45,8 @@ def spans(text: Column, pattern: str, guard: str | None = None, keep=None) -> Co
     cut at the marks into what lies between the matches and the matches themselves, by turns, and offsets are
     running sums over these.  A text that has the mark itself is cut by the pattern instead, in two passes.
     ``guard`` is a cheap test that spares most texts both; ``keep`` filters values within the sums, so that long arrays
-    are never built.
+    are never built.  Appending copies an array, so pieces are walked a chunk at a time: a text of very many matches
+    copies no more than a chunk's for each of them.
     """
     pattern = unicode_classes(pattern)
     between = F.split(text, pattern, -1)
@@ -58,8 +61,17 @@ def spans(text: Column, pattern: str, guard: str | None = None, keep=None) -> Co
         out = F.when(wanted, F.array_append(state["out"], F.struct(state["at"].alias("start"), end.alias("end"), x.alias("value")))).otherwise(state["out"])
         return F.struct(end.alias("at"), (~state["match"]).alias("match"), out.alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), empty.alias("out"))
-    walked = F.aggregate(F.when(F.contains(text, F.lit(MARK)), twice).otherwise(once), begin, step, lambda s: s["out"])
+    def walk(state: Column, chunk: Column) -> Column:
+        begin = F.struct(state["at"].alias("at"), F.lit(False).alias("match"), empty.alias("out"))
+        longer = lambda s: F.when(F.size(s["out"]) > 0, F.array_append(state["out"], s["out"])).otherwise(state["out"])
+        return F.aggregate(chunk, begin, step, lambda s: F.struct(s["at"].alias("at"), longer(s).alias("out")))
+
+    def chunks(pieces: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(pieces) - 1, F.lit(CHUNK)), lambda k: F.slice(pieces, k + 1, F.lit(CHUNK)))
+
+    pieces = F.when(F.contains(text, F.lit(MARK)), twice).otherwise(once)
+    cut = F.flatten(F.transform(F.array(pieces), chunks))  # an array of one, so that the text is cut once
+    walked = F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out")), walk, lambda s: F.flatten(s["out"]))
     return F.when(passes(text, guard), walked).otherwise(empty)
 
 

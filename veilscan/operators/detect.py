@@ -168,13 +168,14 @@ def run_counters(df: DataFrame, content: str = "text", path: str | None = None)
     rows = rows.withColumn("_valid", F.when(open_, regex_candidates(F.col("_text"), F.col("_reputation"), found=F.col("_spans"))).otherwise(none))
     rows = rows.withColumn("_own", F.when(open_, path_findings(F.col("_path"), F.col("_reputation"))).otherwise(none))
     rows = rows.withColumn("_random", F.when(source, entropy_findings(F.col("_text"), F.col("_reputation"))).otherwise(none))
-    clean = F.transform(F.when(source, entropy.tokens(F.col("_text"), all_lengths=True)), lambda t: F.struct(t["start"].alias("start"), entropy.stripped_token(t["value"]).alias("value")))
-    looked_at = F.filter(clean, lambda t: (t["value"] != "") & ~F.exists("_random", lambda r: (r["raw_value"] == t["value"]) & (t["start"] > r["start"])))
+    # an accepted token is one of those of the lengths that matter, so its repetitions are, too
+    again = F.filter(entropy.tokens(F.col("_text")), lambda t: F.exists("_random", lambda r: (r["raw_value"] == entropy.stripped_token(t["value"])) & (t["start"] > r["start"])))
+    looked_at = F.when(source, entropy.token_count(F.col("_text"))) - F.when(F.size("_random") > 0, F.size(again)).otherwise(0)
     size = lambda found: F.coalesce(F.sum(F.greatest(F.size(F.coalesce(found, F.array())), F.lit(0))), F.lit(0)).cast("long")
     counters = {
         "regex_candidates_checked": size(F.transform("_spans", lambda s: s["rule_idx"])),
         "regex_validated": size(F.transform(F.filter("_valid", lambda c: c["requires_validation"]), lambda c: c["rule_idx"])),
-        "entropy_candidates_checked": size(F.transform(looked_at, lambda t: t["start"])),
+        "entropy_candidates_checked": F.coalesce(F.sum(looked_at), F.lit(0)).cast("long"),
         "entropy_accepted": size(F.transform("_random", lambda c: c["start"])),
         "final_findings_published": size(F.transform(F.concat(settled(F.col("_valid")), "_own", "_random"), lambda c: F.lit(1))),
     }
