@@ -4,8 +4,10 @@ import gzip
 import itertools
 import json
 import os
+import tracemalloc
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +214,30 @@ def test_gzip_streams_are_unpacked_up_to_the_limit(spark, monkeypatch):
     assert {r["id"] for r in made.collect()} == {1}
 
 
+def test_gzip_workers_hold_few_texts_at_once(spark, monkeypatch):
+    """All texts of a batch were held before."""
+    df = spark.createDataFrame([(1, b"")], "id long, data binary")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema: fn)
+    run = files.gzip_variants(df, "id", "data")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_000)), pa.array([gzip.compress(b"a" * 50_000)] * 1_000, pa.binary())], names=["id", "data"])
+    tracemalloc.start()
+    ids = [i for part in run(iter([batch])) for i in part.column(0).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == list(range(1_000)) and peak < 10_000_000
+
+
+def test_gzip_streams_in_a_row(spark, monkeypatch):
+    monkeypatch.setattr(files, "PART_BYTES", 7)
+    df = spark.createDataFrame([(1, b"")], "id string, data binary")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema: fn)
+    one, two = gzip.compress(b"first text"), gzip.compress("zwölf".encode())
+    rows = {"both": one + b"between" + two, "cut": two[:-9], "broken": one[:12] + b"\xff" * 9 + one[21:], "no": b"\x1f\x8b", "null": None, "binary": gzip.compress(bytes(range(32)))}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(rows)), pa.array(list(rows.values()), pa.binary())], names=["id", "data"])
+    found = [tuple(r.values()) for part in files.gzip_variants(df, "id", "data")(iter([batch])) for r in part.to_pylist()]
+    assert found[:2] == [("both", "first text"), ("both", "zwölf")] and {k for k, _ in found} <= {"both", "cut"}
+
+
 def test_stream_stream_correlation(spark, tmp_path):
     for name, rows in {"t": [{"event_time": "2024-01-01T00:00:10Z", "path": "/h/a"}], "l": [{"system_time": "2024-01-01T00:00:14Z", "target_filename": "/h/a", "process_id": 1}, {"system_time": "2024-01-01T00:00:16Z", "target_filename": "/h/a", "process_id": 2}]}.items():
         (tmp_path / name).mkdir()

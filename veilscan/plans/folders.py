@@ -97,8 +97,8 @@ def gzip_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [b"head" + gzip.compress(t.encode(), 1, mtime=0) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "data"])
+            packed = ((row, b"head" + gzip.compress(text.as_py().encode(), 1, mtime=0)) for row, text in enumerate(batch.column(1)))
+            yield from files.in_parts(batch, packed, pa.binary(), ["doc_id", "data"])
 
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null"))
     return files.gzip_variants(docs.mapInArrow(pack, "doc_id long, data binary"), "doc_id", "data")

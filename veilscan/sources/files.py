@@ -202,16 +202,53 @@ def cells(files: DataFrame) -> DataFrame:
     return files.select("path").mapInArrow(run, "file_path string, table_name string, row_no bigint, col_no int, cell string")
 
 
+#: Bytes of what a worker makes that it holds before it hands them on, and of a stream that it unpacks at once.
+PART_BYTES = 1 << 20
+
+
+def in_parts(batch: pa.RecordBatch, made: Iterable[tuple[int, str | bytes]], kind: pa.DataType, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(first column of the row, what was made of it) for each (row, what was made of it), a few at a time."""
+
+    def part() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(values, kind)], names=names)
+
+    rows: list[int] = []
+    values: list[str | bytes] = []
+    held = 0
+    for row, value in made:
+        rows.append(row)
+        values.append(value)
+        held += len(value)
+        if held >= PART_BYTES:
+            yield part()
+            rows, values, held = [], [], 0
+    if rows:
+        yield part()
+
+
+def inflate(data: memoryview) -> bytes:
+    """What the gzip stream that begins here holds, up to the size limit of files; what is behind it is not copied."""
+    import zlib
+
+    stream, out, left = zlib.decompressobj(31), [], R.MAX_FILE_BYTES
+    for at in range(0, len(data), PART_BYTES):
+        out.append(stream.decompress(data[at : at + PART_BYTES], left))
+        left -= len(out[-1])
+        if stream.eof or left <= 0:
+            break
+    return b"".join(out)
+
+
 def gzip_variants(df: DataFrame, keep: str, content: str) -> DataFrame:
     """Readable texts of gzip streams inside a binary column: (keep, variant).  Opt-in; text columns hold no gzip bytes.
-    Of a stream no more than the size limit of files is unpacked."""
+    Of a stream no more than the size limit of files is unpacked.  A worker holds one row's bytes and few texts at once."""
     import zlib
 
     def unpack(data: bytes) -> Iterator[str]:
         at = data.find(b"\x1f\x8b")
         while at >= 0:
             try:
-                text = zlib.decompressobj(31).decompress(data[at:], R.MAX_FILE_BYTES).decode("utf-8")
+                text = inflate(memoryview(data)[at:]).decode("utf-8")
                 if text and sum(c.isprintable() or c in "\n\r\t" for c in text) / len(text) > R.PRINTABLE_SHARE:
                     yield text
             except (zlib.error, UnicodeDecodeError):
@@ -220,7 +257,7 @@ def gzip_variants(df: DataFrame, keep: str, content: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, t) for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in unpack(data or b"")]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], batch.schema.field(0).type), pa.array([t for _, t in rows], pa.string())], names=[keep, "variant"])
+            texts = ((row, text) for row, data in enumerate(batch.column(1)) for text in unpack(data.as_py() or b""))
+            yield from in_parts(batch, texts, pa.string(), [keep, "variant"])
 
     return df.select(keep, content).mapInArrow(run, f"`{keep}` {df.schema[keep].dataType.simpleString()}, variant string")
