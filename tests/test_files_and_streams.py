@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions import paths
 from veilscan.operators import correlation, findings
-from veilscan.plans import folders
+from veilscan.plans import catalogue, folders
 from veilscan.sinks.store import Bus, Store
 from veilscan.sources import files, sysmon, tokens
 from veilscan.streaming import alerts
@@ -81,6 +81,34 @@ def test_sysmon_xml(spark):
     assert (rows[0]["event_id"], rows[0]["process_id"], rows[0]["target_filename"], rows[0]["command_line"]) == (11, 7, "C:\\h\\a.txt", None)
 
 
+def test_sysmon_xml_equals_xpath(spark):
+    when = "<TimeCreated SystemTime='2024-01-01T00:00:01Z'/>"
+    odd = [
+        f"<Event>{when}<EventID Qualifiers='1'> 11 </EventID><Data Name='User'>a&amp;b &#x41;<![CDATA[<c>]]><!-- d -->e<b>f<Data Name='Image'>g</Data></b>h</Data></Event>",
+        f"<Event><x><TimeCreated/><TimeCreated Other='1'/>{when}<TimeCreated SystemTime='bad'/></x><EventID>x</EventID><EventID>4</EventID><Data Name='User'/><Data Name='User'>second</Data></Event>",
+        f"<?xml version='1.0' encoding='UTF-16'?>\n<a:Event xmlns:a='urn:a'><a:EventID>5</a:EventID>{when}<a:Data Name='CommandLine'>\u00e9\U0001f600\r\n\tz</a:Data><q:Data Name='Image'> </q:Data></a:Event>",
+        f"<Event>{when}<Data name='User'>no</Data><Data Name='Other'>no</Data><data Name='User'>no</data><Data>no</Data><Data Name='EventID'>9</Data><Data Name='ProcessId'>7.5</Data></Event>",
+        f"<!DOCTYPE Event [<!ENTITY e 'told'>]><Event>{when}<Data Name='TargetFilename'>&e;</Data><Data Name='ProcessId'> 12 </Data><EventID>99999999999</EventID></Event>",
+        f"<Event>{when}<Data Name='User'>{'long ' * 50_000}</Data><EventID>1<EventID>2</EventID></EventID></Event>",
+        "<Event><TimeCreated SystemTime='2024-01-01T00:00:01.123Z'/></Event>", "<Event/>", "", None,
+    ]
+    df = spark.createDataFrame([(x,) for x in odd], "xml string")
+    node = lambda path: F.xpath_string("xml", F.lit(path))
+    told = {name: node(f"//*[local-name()='Data'][@Name='{name}']") for name in ("TargetFilename", "CommandLine", "Image", "ProcessId", "User")}
+    told = [F.when(x.isNotNull() & (x != ""), x) for x in told.values()]
+    expected = df.select(sysmon.system_time(node("//*[local-name()='TimeCreated']/@SystemTime")).alias("t"), node("//*[local-name()='EventID']").try_cast("int"), *told[:3], told[3].try_cast("int"), told[4]).where("t is not null")
+    assert sorted(map(str, map(tuple, sysmon.parse_events(df).collect()))) == sorted(map(str, map(tuple, expected.collect()))) and expected.count() == 6
+    with pytest.raises(Exception, match="ExpatError"):
+        sysmon.parse_events(spark.createDataFrame([("<Event>",)], "xml string")).collect()
+
+
+def test_log_xml_is_parsed_once_and_on_all_cores(spark):
+    """The test of the time was pushed below the exchange before, to the scan's one split, and each column parsed the text anew."""
+    plan = catalogue.queries()["log_events"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "XPath" not in plan and plan.count("MapInArrow") == 1
+    assert "Filter isnotnull" in plan and "Filter isnotnull" not in plan[plan.index("Exchange") :]
+
+
 def _at(second: float) -> datetime:
     return datetime(2024, 1, 1, 0, 0, int(second), int(second % 1 * 1e6))
 
